@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_batches
+from .shared import text_batches, written
 from .textbytes import words_of
 
 #: Words in a window, bytes of text in a shard, and every how many text positions one is sampled.
@@ -193,43 +193,45 @@ def scan_shard(texts: list[bytes | None], p: Patterns) -> list[tuple[int, int, l
     return out
 
 
-def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column: str) -> DataFrame:
+def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(patterns)
-    kind = documents.schema[id_column].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("word_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("byte_spans", T.ArrayType(T.LongType()))])
+    kept = [documents.schema[c] for c in keep]
+    found = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("word_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("byte_spans", T.ArrayType(T.LongType()))]
+    own = T.StructType([T.StructField("doc_id", documents.schema[id_column].dataType), *kept])
+    schema = T.StructType([*own.fields, *found])
+    width = len(own.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
-        ids: list[pa.Array] = []
+        slices: list[pa.RecordBatch] = []
         texts: list[bytes | None] = []
-        arrow = None
 
         def done() -> pa.RecordBatch:
             rows = scan_shard(texts, p)
             cols = [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *cols], names=schema.names)
+            first = [pa.concat_arrays([s.column(k) for s in slices]) for k in range(width)]
+            return pa.RecordBatch.from_arrays([*first, *cols], names=schema.names)
 
         size = 0
         for batch in batches:
-            arrow = batch.schema.field(0).type
-            values, begin = batch.column(1).to_pylist(), 0
+            values, begin = batch.column(width).to_pylist(), 0
             for i, v in enumerate(values):
                 size += len(v or b"")
                 texts.append(v)
                 if size >= SHARD_BYTES:
-                    ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                    slices.append(batch.slice(begin, i + 1 - begin))
                     yield done()
-                    ids, texts, begin, size = [], [], i + 1, 0
+                    slices, texts, begin, size = [], [], i + 1, 0
             if begin < len(values):
-                ids.append(batch.column(0).slice(begin))
-        if texts and arrow is not None:
+                slices.append(batch.slice(begin))
+        if texts:
             yield done()
 
-    return documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("binary").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(id_column).alias("doc_id"), *[F.col(c) for c in keep], F.col(text_column).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, word_spans, items, byte_spans: which words of each document lie inside a benchmark window.
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """doc_id, the ``keep`` columns, n_words, n_hit, word_spans, items, byte_spans: which words of each document lie inside a benchmark window.
 
     Spans are flat lists of starts and ends: words, and bytes of the UTF-8 text. Null and wordless texts have no
     words, spans or items; null and wordless items have no windows. One row comes out for each row that goes in,
@@ -243,10 +245,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sets = max(1, -(-int(total) // pattern_bytes))
     if sets == 1:
-        return _scan(documents, Patterns(_collected(items)), id_column, text_column)
-    marked = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    from .shared import written
-
+        return _scan(documents, Patterns(_collected(items)), id_column, text_column, keep)
+    marked = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c) for c in keep])
     marked = written(marked, "documents")
     parts = [_scan(marked, Patterns(_collected(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == s))), "_row", "_text") for s in range(sets)]
     every = parts[0]
@@ -256,11 +256,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
     merged = merged.select(F.col("doc_id").alias("_row"), "n_words", "items", _union("w").alias("word_spans"), _union("b").alias("byte_spans"))
     length = F.aggregate(F.sequence(F.lit(0), F.size("word_spans") - 1), F.lit(0).cast("long"), lambda s, i: s + F.when(i % 2 == 1, F.element_at("word_spans", i + 1)).otherwise(-F.element_at("word_spans", i + 1)))
     merged = merged.withColumn("n_hit", F.when(F.size("word_spans") > 0, length).otherwise(F.lit(0)).cast("long"))
-    return marked.select("_row", F.col("_id").alias("doc_id")).join(merged, "_row").select("doc_id", "n_words", "n_hit", "word_spans", "items", "byte_spans")
+    return marked.select("_row", F.col("_id").alias("doc_id"), *keep).join(merged, "_row").select("doc_id", *keep, "n_words", "n_hit", "word_spans", "items", "byte_spans")
 
 
 def _pairs(c: str):
-    return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), F.size(c) / 2 - 1), lambda i: F.struct(F.element_at(c, (2 * i + 1).cast("int")).alias("s"), F.element_at(c, (2 * i + 2).cast("int")).alias("e")))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    return F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.struct(F.element_at(c, (2 * i + 1).cast("int")).alias("s"), F.element_at(c, (2 * i + 2).cast("int")).alias("e")))).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
 def _union(c: str):
