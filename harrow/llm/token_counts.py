@@ -22,46 +22,46 @@ from .shared import on_worker, text_batches
 from .units import Units
 
 #: Characters of a chunk and of the overlap between two, at first.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 _STABLE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 _loaded: dict = {}
 
 
-def splice(left: list[tuple[int, int]], left_at: int, right: list[tuple[int, int]], right_at: int, text: str, begin: int, end: int) -> tuple[int, int, int] | None:
-    """(place, tokens of left before it, tokens of right before it) of a stable boundary of both in text[begin:end]; offsets are
-    relative to ``left_at`` and ``right_at``. None where there is none."""
-    lefts = {s + left_at: i for i, (s, _) in reversed(list(enumerate(left)))}
-    rights = {s + right_at: i for i, (s, _) in reversed(list(enumerate(right)))}
+def splice(left, left_at: int, right, right_at: int, text: str, begin: int, end: int) -> tuple[int, int, int] | None:
+    """(place, tokens of left before it, tokens of right before it) of a stable boundary of both in text[begin:end], the nearest to its
+    middle; the encodings' texts begin at ``left_at`` and ``right_at``. None where there is none."""
     middle = (begin + end) // 2
     places = [m.start() for m in _STABLE.finditer(text, begin + 1, end - 1)]
     for p in sorted(places, key=lambda x: abs(x - middle)):
-        if p in lefts and p in rights:
-            return p, lefts[p], rights[p]
+        i, j = left.char_to_token(p - left_at), right.char_to_token(p - right_at)
+        if i is not None and j is not None and left.token_to_chars(i)[0] + left_at == p == right.token_to_chars(j)[0] + right_at:
+            return p, i, j
     return None
 
 
-def spliced(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[list[int], int, int]]:
-    """(ids, first, end) runs whose ids[first:end] in order are the ids of ``text``. encode(text) gives (ids, offsets)."""
+def spliced(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[object, int, int]]:
+    """(encoding, first, end) runs: the tokens first to end of each encoding in order are those of ``text``. encode(text) gives the
+    library's encoding with offsets."""
     n, at, width = len(text), 0, overlap
-    ids, offsets = encode(text[:chunk])
+    held = encode(text[:chunk])
     first, end = 0, min(n, chunk)
     while end < n:
         begin = max(at + 1, end - width)
         stop = min(n, begin + max(chunk, 2 * width))
-        more, places = encode(text[begin:stop])
-        found = splice(offsets, at, places, begin, text, begin, end)
+        more = encode(text[begin:stop])
+        found = splice(held, at, more, begin, text, begin, end)
         if found is None or found[1] < first:
             if begin == at + 1:  # nothing stable in the whole chunk: take it together with what follows
                 end = min(n, at + 2 * (end - at))
-                ids, offsets = encode(text[at:end])
+                held = encode(text[at:end])
                 width = overlap
             else:
                 width *= 2
             continue
         _, mine, others = found
-        yield ids, first, mine
-        ids, offsets, first, at, end, width = more, places, others, begin, stop, overlap
-    yield ids, first, len(ids)
+        yield held, first, mine
+        held, first, at, end, width = more, others, begin, stop, overlap
+    yield held, first, len(held)
 
 
 class Counter:
@@ -84,11 +84,7 @@ class Counter:
             units = Units(lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)])
             self.many = lambda texts: [sum(x) for x in units.of(texts)]
 
-            def one(text: str):
-                e = tok.encode(text, add_special_tokens=False)
-                return e.ids, e.offsets
-
-            self.one = one
+            self.one = lambda text: tok.encode(text, add_special_tokens=False)
 
     def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         short = [i for i, t in enumerate(texts) if self.one is None or len(t) <= chunk]

@@ -10,43 +10,74 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-REMEMBERED = 300_000
-#: Longer units aren't remembered.
+REMEMBERED = 1_000_000
+#: A text with a longer unit is taken whole.
 LONGEST = 256
 
-#: White space other than lone inner spaces and line feeds, or the control characters that classes of white space differ on.
-_ODD = re.compile(r"[^\S \n]|[\x00\x1c-\x1f\x85]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+#: Marks that may end a unit.
+_MARKS = ".,;:!?"
+#: White space other than spaces and line feeds, or the control characters that classes of white space differ on.
+_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+_EDGES = frozenset(" \n")
 
 
 def units_of(text: str) -> list[str]:
-    """Units whose concatenation is ``text``; the text itself where no cut is certain."""
-    if _ODD.search(text):
+    """Units whose concatenation is ``text``; the text itself where spaces or line feeds stand together or at an end. A unit
+    that holds other white space doesn't stand for itself: its text must be taken whole."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\x00" in text or text[:1] in _EDGES or text[-1:] in _EDGES:
         return [text]
     return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
 
 class Units:
-    """Remembers what ``encode`` (a list of texts to a list of values) gives for each unit."""
+    """Remembers what ``encode`` (a list of texts to a list of values that add up by +) gives for each unit.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable]):
-        self.encode, self.known = encode, {}
+    A new unit that ends in marks after a letter or digit is put together from the two, since all pre-splittings here
+    cut there; ``fold`` maps a unit to one of the same value.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable], fold: Callable[[str], str] = lambda u: u):
+        self.encode, self.fold, self.known = encode, fold, {}
+
+    def _learn(self, fresh: Iterable[str]) -> None:
+        """Makes known the values of units that aren't."""
+        known, parts, todo, fold = self.known, [], {}, self.fold
+        for u in fresh:
+            f = fold(u)
+            core = f.rstrip(_MARKS)
+            if len(core) < len(f) and core and core[-1].isalnum():
+                tail = f[len(core) :]
+                if tail not in known:
+                    todo[tail] = None
+            else:
+                core, tail = f, None
+            if core not in known:
+                todo[core] = None
+            parts.append((u, core, tail))
+        known.update(zip(todo, self.encode(list(todo)), strict=True))
+        for u, core, tail in parts:
+            known[u] = known[core] if tail is None else known[core] + known[tail]
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its units, in order."""
+        known = self.known
         cut = [units_of(t) for t in texts]
-        fresh: set[str] = set()
-        for c in cut:
-            fresh.update(c)
-        fresh.difference_update(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*cut)
-        todo = list(fresh)
-        once = {}
-        for unit, value in zip(todo, self.encode(todo), strict=True):
-            (self.known if len(unit) <= LONGEST else once)[unit] = value
-        get = self.known.__getitem__
-        if once:
-            both = self.known | once if len(once) * 50 > len(self.known) else None
-            get = both.__getitem__ if both is not None else (lambda u: once[u] if u in once else self.known[u])
-        return [list(map(get, c)) for c in cut]
+        every = set().union(*cut)
+        if len(known) + 2 * len(every.difference(known)) > REMEMBERED:
+            known.clear()
+        fresh = every.difference(known)
+        alone = {u for u in fresh if len(u) > LONGEST or _ODD.search(u)}
+        whole: dict[int, str] = {}
+        if alone:
+            for k, c in enumerate(cut):
+                if not alone.isdisjoint(c):
+                    whole[k] = texts[k]
+            fresh = set().union(*(c for k, c in enumerate(cut) if k not in whole)).difference(known)
+        if fresh:
+            self._learn(fresh)
+        # these texts' own units in a small table: most lookups stay in a near cache
+        near = {u: known[u] for u in every if u in known}
+        out = [[] if k in whole else list(map(near.__getitem__, c)) for k, c in enumerate(cut)]
+        for k, value in zip(whole, self.encode(list(whole.values())), strict=True):
+            out[k] = [value]
+        return out

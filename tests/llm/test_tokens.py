@@ -53,7 +53,7 @@ def test_splices_give_the_ids_of_the_whole():
     for _ in range(60):
         t = "".join(rng.choice(["ab", " ", "é", "'s", "\n", "12", " the", "<|endoftext|>", "x y z ", "----", "🙂"]) for _ in range(400))
         for chunk, overlap in ((64, 4), (100, 50)):
-            assert [i for ids, a, b in spliced(one, t, chunk, overlap) for i in ids[a:b]] == tok.encode(t, add_special_tokens=False).ids
+            assert [i for e, a, b in spliced(one, t, chunk, overlap) for i in e.ids[a:b]] == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_counts_sentencepiece(spark):
