@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_PACKAGE.parent))
     sc.addPyFile(path)
     sc._harrow_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``; under /tmp only where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
