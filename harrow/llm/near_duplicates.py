@@ -253,8 +253,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     signed = written(_signed(documents, id_column, text_column, shingle, bands, rows), "signed")
     texts = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets"))
     held = texts.select("key", "doc_id", F.explode("buckets").alias("bucket"))
-    sets = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("hub"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s")).where("n > 1")
-    sets = sets.groupBy("n", "hub", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "hub")
+    # of a bucket's members: how many, the one with the smallest hash, and two digests that tell sets apart; fixed-width numbers only, so that hashing suffices
+    mark = F.xxhash64("key")
+    sets = held.select("bucket", mark.alias("h"), F.xxhash64(F.lit(1), "key").alias("g")).groupBy("bucket").agg(F.count("*").alias("n"), F.min("h").alias("hub"), F.bit_xor("h").alias("s"), F.bit_xor("g").alias("t")).where("n > 1")
+    sets = sets.groupBy("n", "hub", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "hub")
     members = written(held.join(sets, "bucket"), "members")
     needed = written(members.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "needed")
     n_needed = needed.count()
@@ -266,8 +268,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     shingles = written(_shingled(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text"), shingle), "shingles")
 
     blocks = F.ceil(F.col("n") / tile).cast("int")
-    plain = members.where("key <> hub").select("bucket", F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"), F.lit(1).alias("rank"), "key")
-    hubs = members.where("key = hub").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("rank"), "key")
+    plain = members.where(mark != F.col("hub")).select("bucket", F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"), F.lit(1).alias("rank"), "key")
+    hubs = members.where(mark == F.col("hub")).select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("rank"), "key")
     star = plain.unionByName(hubs).join(shingles, "key").select("bucket", "block", "rank", "key", "shingles", "weights")
     star = star.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rank")
 
