@@ -109,6 +109,17 @@ SELECT p_partkey, string_agg('''' || term || ''':' || tf || '@' || p, ' ' ORDER
 _STOP = "', '".join(["the", "of", "and"])
 add("analyze_stopped", lambda s, d: read_table(s, d, "documents").select("doc_id", analyze_stopped(F.col("text"), ["the", "of", "and"]).alias("doc")).select("doc_id", F.col("doc.length").cast("long").alias("length"), F.coalesce(F.array_max("doc.pos"), F.lit(0)).cast("long").alias("last")), f"WITH {_D} SELECT doc_id, CAST(len(list_filter(w, lambda x: x NOT IN ('{_STOP}'))) AS BIGINT) AS length, coalesce(list_max(list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ('{_STOP}'))), 0) AS last FROM d")
 
+
+
+def _english(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.english import analyze_english, normalize_query
+
+    docs = read_table(spark, d, "documents").where("lang = 'en'").withColumn("doc", analyze_english(F.col("text")))
+    return docs.where(matches(F.col("doc"), normalize_query(parse("nations | running | the shining")))).select("doc_id", F.col("doc.length").alias("length"))
+
+
+add("english_match", _english)
+
 # --- ranking ------------------------------------------------------------------------------------------------------------------------
 
 

@@ -152,6 +152,7 @@ def nearest_many(table: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
     from pyspark.sql import Window
 
+    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     partial = table.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -217,6 +218,7 @@ def with_quantized(table: DataFrame, bits: int = 4, vector_column: str = "embedd
                     out[i] = v.astype(np.float32).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=schema.names)
 
+    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return table.mapInArrow(run, schema)
 
 
