@@ -16,8 +16,10 @@ A select over ``high`` (per-byte population counts, then the bit within the byte
 
 from __future__ import annotations
 
+import json
 import os
-
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import on_worker, text_batches
-from .units import Units
+from .units import LONGEST, REMEMBERED, Units
 
 #: Ids in a segment, about.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 #: Segments whose starts are broadcast (24 bytes each); beyond that they are joined by a shuffle.
 STARTS = 500_000
 _loaded: dict = {}
@@ -70,23 +72,120 @@ class EliasFano:
         return (upper << self.low_bits) | low.sum(axis=1)
 
 
+_LATIN, _LETTERS = re.compile(r"[\x00-\xff]*"), re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _folded(unit: str) -> str:
+    """For a vocabulary that drops white space and lower-cases: composed Latin letters are folded here, once for all spellings; strings of
+    special tokens and any other character are left to the library."""
+    unit = unit.strip(" \n")
+    return unit.lower() if (unit.isascii() or _LATIN.fullmatch(unit)) and "<|" not in unit else unit
+
+
+#: What a text must not hold to be lower-cased and cut into words here: control characters and those beyond Latin-1; and a mark at the end of a word after
+#: anything but a letter or digit. (Nor strings of special tokens.)
+_HARD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u0100-\U0010ffff]")
+_MARKED = re.compile(r"[.,;:!?](?<=[^0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff\s].)(?=[ \n]|\Z)")
+_TAILED = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]+)")
+
+
+def is_hard(text: str) -> bool:
+    return "<|" in text or _HARD.search(text) is not None or _MARKED.search(text) is not None
+
+
+def words_of_text(text: str) -> list[str]:
+    """Words of a text that isn't hard, lower-cased, with a mark that ends a word as a word of its own: the pre-splitting cuts at all these places."""
+    t = text.lower()
+    for m in ".,;:!?":
+        if m in t:
+            t = t.replace(f"{m} ", f" {m} ").replace(f"{m}\n", f" {m}\n")
+    if t[-1:] in _ENDS:
+        t = f"{t[:-1]} {t[-1]}"
+    return t.split()
+
+
+_ENDS = frozenset(".,;:!?")
+
+
 class Encoder:
     """Bytes of little-endian ids of whole texts by a vocabulary of the tokenizers library."""
 
+    #: A mark between words where many are encoded at once, and how many.
+    MARK, MANY = "|", 64
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        self.width = 2 if max(end_id, tok.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.width = 2 if max(end_id, self.tok.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], dtype=self.kind).tobytes()
-        self.units = Units(lambda texts: [np.array(x.ids, dtype=self.kind).tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)])
+        settings = json.loads(self.tok.to_str())
+        # white space is dropped and words end by themselves: words of plain lower-case letters, which normalising and pre-splitting leave as they
+        # are, can be encoded many at a time by the same model without those steps
+        free = '"Lowercase"' in json.dumps(settings["normalizer"]) and settings["model"].get("end_of_word_suffix") is not None
+        if free:
+            self.lean = Tokenizer(self.tok.model)
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            # letters and the mark are their own byte characters in ASCII
+            self.plain = Tokenizer(self.tok.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            mark = self.lean.encode(self.MARK, add_special_tokens=False).ids
+            free, self.mark = len(mark) == 1, mark[0]
+        self.units = Units(self._many, _folded) if free else Units(self._each)
+        self.known: dict[str, bytes] | None = {} if free else None
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.width == 2 else "I"
+        return [array(code, x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        words = [i for i, t in enumerate(texts) if len(t) <= LONGEST and _LETTERS.fullmatch(t)]
+        rest = set(range(len(texts))).difference(words)
+        ascii_ones = [i for i in words if texts[i].isascii()]
+        between, w = f" {self.MARK} ", self.width
+        for lean, own in ((self.plain, ascii_ones), (self.lean, sorted(set(words).difference(ascii_ones)))):
+            groups = [own[k : k + self.MANY] for k in range(0, len(own), self.MANY)]
+            for group, e in zip(groups, lean.encode_batch_fast([between.join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=self.kind)
+                cut = np.flatnonzero(ids == self.mark)
+                if len(cut) != len(group) - 1:  # no word holds the mark
+                    raise AssertionError("marks don't stand where they were put")
+                raw = ids.tobytes()
+                begins, ends = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
+                for i, a, b in zip(group, begins, ends, strict=True):
+                    out[i] = raw[a:b]
+        left = sorted(rest)
+        for i, value in zip(left, self._each([texts[i] for i in left]), strict=True):
+            out[i] = value
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) + self.end for x in self.units.of(texts)]
+        out: list[bytes] = [b""] * len(texts)
+        easy = [i for i, t in enumerate(texts) if not is_hard(t)] if self.known is not None else []
+        cut = [words_of_text(texts[i]) for i in easy]
+        every = set().union(*cut)
+        fresh = every.difference(self.known or ())
+        if fresh:
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+                fresh = every
+            # letters with other characters after them: the pre-splitting cuts between the two
+            split = {w: m.groups() for w in fresh if not _LETTERS.fullmatch(w) and (m := _TAILED.fullmatch(w))}
+            new = list(fresh.difference(split).union(x for pair in split.values() for x in pair if x not in self.known))
+            self.known.update(zip(new, self._many(new), strict=True))
+            self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in split.items())
+        near = {u: self.known[u] for u in every}
+        for i, c in zip(easy, cut, strict=True):
+            out[i] = b"".join(map(near.__getitem__, c)) + self.end
+        hard = sorted(set(range(len(texts))).difference(easy))
+        for i, x in zip(hard, self.units.of([texts[k] for k in hard]), strict=True):
+            out[i] = b"".join(x) + self.end
+        return out
 
 
 def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
@@ -132,8 +231,7 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it in the files' order), n_tokens (with the end id), ids (binary, little-endian unsigned 32-bit) of each document."""
-    for conf in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"):
-        spark.conf.set(conf, "16")  # rows are whole segments
+    text_batches(spark, 64)  # rows are whole segments
     files = spark.read.schema(_SCHEMA).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a partition: small
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("parts_before"))
