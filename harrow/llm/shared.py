@@ -44,9 +44,9 @@ def drop_written(df: DataFrame) -> None:
 TEXT_ROWS = 1000
 
 
-def text_batches(spark: SparkSession) -> None:
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the Arrow batches of whole texts: fewer rows, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def on_worker(cache: dict, key, make: Callable):
