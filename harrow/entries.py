@@ -100,7 +100,7 @@ add("tsquery_match", lambda s, d: documents(s, d).where(matches(F.col("doc"), fr
 
 add("analyze_lengths", lambda s, d: documents(s, d).select("doc_id", F.col("doc.length").cast("long").alias("length"), F.size(F.array_distinct("doc.tokens")).cast("long").alias("terms")), f"WITH {_D} SELECT doc_id, CAST(len(w) AS BIGINT) AS length, CAST(len(list_distinct(w)) AS BIGINT) AS terms FROM d")
 add("postings", lambda s, d: vocabulary.term_pairs(documents(s, d)), f"WITH {_D} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL")
-add("term_positions", lambda s, d: documents(s, d).select("doc_id", F.transform(positions(F.col("doc"), "with"), lambda p: p.cast("long")).alias("pos")).where("size(pos) > 0"), f"WITH {_D} SELECT doc_id, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'with') AS pos FROM d WHERE {_has('with')}")
+add("term_positions", lambda s, d: documents(s, d).select("doc_id", F.array_join(F.transform(positions(F.col("doc"), "with"), lambda p: p.cast("string")), ",").alias("pos")).where("pos <> ''"), f"WITH {_D} SELECT doc_id, array_to_string(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'with'), ',') AS pos FROM d WHERE {_has('with')}")
 add("document_text_form", lambda s, d: read_table(s, d, "part").select("p_partkey", text_form(analyze(F.col("p_name"))).alias("form"), text_form(set_zone(analyze(F.col("p_name")), "B")).alias("zoned")), f"""
 WITH t AS (SELECT p_partkey, {_TOKENS.format('p_name')} AS w FROM part),
 x AS (SELECT p_partkey, w[i] AS term, i FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
@@ -212,7 +212,7 @@ _ASCII = "regexp_full_match(t, '[a-z0-9]+')"
 add("fuzzy_vocabulary", lambda s, d: vocabulary.fuzzy_terms(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")), f"WITH {_D}, v AS (SELECT t AS term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS t FROM d) WHERE {_ASCII} GROUP BY t) SELECT term, df, CAST(levenshtein(term, 'with') AS BIGINT) AS distance FROM v WHERE levenshtein(term, 'with') <= 2")
 add("edit_distance_order", lambda s, d: vocabulary.nearest_by_edits(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "thereon", 40), f"WITH {_D}, v AS (SELECT doc_id, list_filter(w, lambda t: {_ASCII}) AS w FROM d) SELECT doc_id, coalesce(list_min(list_transform(w, lambda t: levenshtein(t, 'thereon')))::DOUBLE, 'inf'::DOUBLE) AS distance FROM v ORDER BY distance, doc_id LIMIT 40")
 add("anomalous_docs", lambda s, d: vocabulary.anomalous_docs(documents(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
-add("index_invariants", lambda s, d: measures.check_index(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")), vocabulary.postings(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")))), "SELECT * FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
+add("index_invariants", lambda s, d: measures.check_index(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")), vocabulary.postings(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")))), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
 
 # --- substrings and similarity ------------------------------------------------------------------------------------------------------
 
@@ -388,8 +388,8 @@ RELATIONAL = {
     "group_sets": "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
     "group_having": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, bool_and(value > 0) AS positive FROM events GROUP BY user_id HAVING count(*) > 2",
     "group_filter": "SELECT lang, count(*) FILTER (WHERE n_chars > 1000) AS long_ones, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY lang",
-    "window_rank": "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn, rank() OVER (PARTITION BY lang ORDER BY n_chars DESC) AS rk, dense_rank() OVER (PARTITION BY lang ORDER BY n_chars DESC) AS dr FROM documents",
-    "window_frame": "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before_it, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opened FROM conversations",
+    "window_rank": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY lang ORDER BY n_chars DESC) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY n_chars DESC) AS BIGINT) AS dr FROM documents",
+    "window_frame": "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before_it, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opened FROM conversations",
     "set_union": "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT n_name FROM nation",
     "set_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
     "set_except": "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels",
