@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.analysis import analyze, analyze_stopped, concat_docs, positions, set_zone, term_frequency, text_form
+from .functions.analysis import analyze, analyze_stopped, concat_docs, from_text_form, positions, set_zone, term_frequency, text_form
 from .operators import fusion, measures, presentation, rank, vector, vocabulary
+from .operators.index import StoredIndex, build_index
 from .operators.match import matches
 from .plans.query import from_tsquery, parse, show
 from .session import scratch
@@ -203,6 +204,27 @@ def _query_set(spark: SparkSession, d: str) -> DataFrame:
 
 add("query_set", _query_set, f"WITH {_D}, {_stats_sql(['with', 'der', 'die', 'que', 'les', 'of', 'the'])} " + " UNION ALL ".join(f"(SELECT doc_id, round({_bm25_sql(t)}, 6) AS score, {n} AS qid FROM d, st WHERE {c} ORDER BY score DESC, doc_id LIMIT 5)" for n, t, c in ((1, ["with"], _has("with")), (2, ["der", "die"], f"{_has('der')} AND {_has('die')}"), (3, ["que", "les"], _any(["que", "les"])), (4, ["of", "the"], _pairs("of", "the", 1, 1)))))
 
+
+
+def _index(spark: SparkSession, d: str) -> StoredIndex:
+    path = scratch(spark, "index")
+    build_index(documents(spark, d), path)
+    return StoredIndex(spark, path)
+
+
+add("index_search_or", lambda s, d: _index(s, d).search("the | with | of", 20), SQL["bm25_top"])
+add("index_search_not", lambda s, d: _index(s, d).search("with & !der", 20), SQL["bm25_negated_term_counts"])
+
+
+def _index_counts(spark: SparkSession, d: str) -> DataFrame:
+    i = _index(spark, d)
+    return spark.createDataFrame([(q, i.count(q)) for q in ("with", "absentword", "der | que", "les & !de")], "query string, n long")
+
+
+add("index_count", _index_counts, f"WITH {_D} " + " UNION ALL ".join(f"SELECT '{q}' AS query, count(*) FILTER ({c}) AS n FROM d" for q, c in (("with", _has("with")), ("absentword", _has("absentword")), ("der | que", _any(["der", "que"])), ("les & !de", f"{_has('les')} AND NOT {_has('de')}"))))
+add("index_vocabulary", lambda s, d: _index(s, d).vocabulary, f"WITH {_D}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL) SELECT term, count(*) AS df, max(tf) AS max_tf FROM p GROUP BY term")
+add("document_round_trip", lambda s, d: read_table(s, d, "part").select("p_partkey", text_form(set_zone(analyze(F.col("p_name")), "C")).alias("form")).select("p_partkey", (text_form(from_text_form(F.col("form"))) == F.col("form")).alias("same")), "SELECT p_partkey, true AS same FROM part")
+
 # --- vocabulary ---------------------------------------------------------------------------------------------------------------------
 
 add("term_stats", lambda s, d: vocabulary.term_stats(documents(s, d)), f"WITH {_D} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")

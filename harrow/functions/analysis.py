@@ -101,3 +101,28 @@ def text_form(doc: Column) -> Column:
         return F.when(doc["has_pos"], F.concat(quoted, F.lit("@"), places)).otherwise(quoted)
 
     return F.when(doc.isNotNull(), F.concat_ws(" ", F.transform(terms, one)))
+
+
+def _from_entries(text: Column, pattern: str, names: int, places: int) -> Column:
+    """A document of the entries that ``pattern`` finds: the groups of an entry's quoted term and of its places with zone letters."""
+    entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(names)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(places)).alias("p"))
+    bit = lambda x: F.when(x.endswith("A"), 8).when(x.endswith("B"), 4).when(x.endswith("C"), 2).otherwise(1)
+
+    def one(e: Column) -> Column:
+        name = F.replace(e["n"], F.lit("''"), F.lit("'"))
+        every = F.when(e["p"] == "", F.array(F.lit("0"))).otherwise(F.split(F.upper(e["p"]), ","))
+        return F.transform(every, lambda x: F.struct(name.alias("t"), F.regexp_extract(x, r"^[0-9]+", 0).cast("int").alias("p"), bit(x).alias("z")))
+
+    flat = F.array_sort(F.flatten(F.transform(entries, one)), lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0))
+    made = F.struct(F.transform(flat, lambda s: s["t"]).alias("tokens"), F.transform(flat, lambda s: s["p"]).alias("pos"), F.transform(flat, lambda s: s["z"]).alias("zone"), F.size(flat).alias("length"), F.exists(flat, lambda s: s["p"] > 0).alias("has_pos"))
+    return F.when(text.isNotNull(), made)
+
+
+def from_tsvector(text: Column) -> Column:
+    """A document of a tsvector's text: ``'fox':2A,6 'the':1``. An entry without places has the unknown place 0, which is next to nothing; without any place the document has no positions."""
+    return _from_entries(text, r"'((?:[^']|'')*)'(?::([0-9A-Da-d,]+))?", 1, 2)
+
+
+def from_text_form(text: Column) -> Column:
+    """The document whose ``text_form`` is ``text``, with positions."""
+    return _from_entries(text, r"'((?:[^']|'')*)':[0-9]+(?:@([0-9A-D,]+))?", 1, 2)

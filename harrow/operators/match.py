@@ -54,7 +54,8 @@ def _value(doc: Column, node: Node) -> _Value:
         return _Value(known & left.present & right.present)
     n = node.distance
     near = (lambda p, q: p + n == q) if node.exact else (lambda p, q: (p < q) & (q - p <= n))
-    hit = F.filter(right.pos, lambda q: F.exists(left.pos, lambda p: near(p, q)))
+    # place 0 is unknown, and next to nothing
+    hit = F.filter(right.pos, lambda q: (q > 0) & F.exists(left.pos, lambda p: (p > 0) & near(p, q)))
     return _Value(doc["has_pos"] & (F.size(hit) > 0), hit)
 
 

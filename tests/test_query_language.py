@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.functions.analysis import analyze, concat_docs, set_zone, strip_positions, text_form
+from harrow.functions.analysis import analyze, concat_docs, from_text_form, from_tsvector, set_zone, strip_positions, text_form
 from harrow.operators.approximate import matcher
 from harrow.operators.match import matches
 from harrow.plans.query import QueryError, from_tsquery, parse, show, without_stopwords
@@ -85,3 +85,13 @@ def test_approximate_regex():
     for bad in ("{~1}a", "(a|b){~1}", "a{~1}b{~1}c{~1}d{~1}", "a{~x}"):
         with pytest.raises(ValueError):
             matcher(bad)
+
+
+def test_tsvector_and_text_forms(spark):
+    df = spark.createDataFrame([(1, "'fox':2A,6 'it''s' 'the':1"), (2, "'a' 'b'"), (3, "")], "id int, t string").withColumn("d", from_tsvector(F.col("t")))
+    got = {r.id: r for r in df.select("id", text_form(F.col("d")).alias("f"), F.col("d.has_pos").alias("h")).collect()}
+    assert got[1].f == "'fox':2@2A,6 'it''s':1@0 'the':1@1" and got[2].f == "'a':1 'b':1" and not got[2].h and got[3].f == ""
+    found = lambda q: [r.id for r in df.where(matches(F.col("d"), parse(q))).collect()]
+    assert found("the <-> fox") == [1] and found("'it''s' <-> the") == [] and found("a & b") == [2] and found("a <-> b") == [] and found("fox:A") == [1]
+    back = df.where("id = 1").select(text_form(from_text_form(text_form(F.col("d")))).alias("f")).first()
+    assert back.f == got[1].f
