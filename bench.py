@@ -28,7 +28,7 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):
+        for _ in range(1):
             begun = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - begun)
