@@ -1,8 +1,8 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The counts of rows that go from each input partition to each shard are drawn exactly (multivariate hypergeometric), so the
+The counts of rows that go from each input file to each shard are drawn exactly (multivariate hypergeometric), so the
 shards' sizes are fixed in advance and every arrangement stays equally likely. Rows are permuted within their
-partition (a keyed bijection of their places), dealt to shards by the drawn counts, exchanged once, and permuted again within
+file (a keyed bijection of their places), dealt to shards by the drawn counts, exchanged once, and permuted again within
 their shard, bucket by bucket.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import written
 
@@ -87,24 +86,27 @@ def permuted(place: Column, n: Column, key: Column, rounds: int = 24) -> Column:
 def shard_documents(documents: DataFrame, shards: int = 24, seed: int = 7, stable: bool = False) -> DataFrame:
     """``documents`` with columns ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within a shard).
 
-    Shards' row counts differ by one at most. ``stable``: the caller states that ``documents`` is a plain scan of files, whose partitions
-    are the same each time; any other input is first written to the shared folder. All rows are kept: repeated rows, nulls and
+    Shards' row counts differ by one at most. ``stable``: the caller states that ``documents`` is a plain scan of Parquet files; any
+    other input, or a scan that leaves out rows, is first written to the shared folder. A row's part and place are its file and its
+    index there, so both passes agree however Spark splits the files. All rows are kept: repeated rows, nulls and
     empty texts are rows like others. Columns of the input named shard or slot are replaced; the result for an empty table is
-    empty. The same seed and the same files and partitioning give the same result.
+    empty. The same seed and the same files give the same result.
     """
     spark = documents.sparkSession
     documents = documents.drop("shard", "slot")
     if not stable:
         documents = written(documents, "unsharded")
     own = documents.columns
-    placed = documents.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    found = sorted((r._part, r.n) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a number a partition
+    placed = documents.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
+    found = sorted((r._file, r.n, r.last) for r in placed.groupBy("_file").agg(F.count("*").alias("n"), F.max("_place").alias("last")).collect())  # a row a file
+    if stable and any(last + 1 != n for _, n, last in found):
+        return shard_documents(documents, shards, seed)
     if not found:
         return documents.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    counts = np.array([n for _, n in found], dtype=np.int64)
+    counts = np.array([n for _, n, _ in found], dtype=np.int64)
     ends = communication_matrix(counts, shards, seed).cumsum(axis=1)
-    rows = [(p, int(n), [int(x) for x in e]) for (p, n), e in zip(found, ends, strict=True)]
-    matrix = spark.createDataFrame(rows, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_ends", T.ArrayType(T.LongType()))]))
+    rows = [(f, p, n, [int(x) for x in e]) for p, ((f, n, _), e) in enumerate(zip(found, ends, strict=True))]
+    matrix = spark.createDataFrame(rows, "_file string, _part int, _n long, _ends array<long>")
     matrix = F.broadcast(matrix) if ends.size <= MATRIX_CELLS else matrix
 
     x = permuted(F.col("_place"), F.col("_n"), F.xxhash64(F.lit(seed), F.col("_part")))
@@ -114,11 +116,11 @@ def shard_documents(documents: DataFrame, shards: int = 24, seed: int = 7, stabl
     def dealt(rows: DataFrame) -> DataFrame:
         # the place is bound once: as a column of its own it would be worked out again for each element of _ends
         shard = F.transform(F.array(x), lambda y: F.size(F.filter("_ends", lambda e: e <= y)))[0]
-        rows = rows.join(matrix, "_part").withColumn("shard", shard.cast("int"))
+        rows = rows.join(matrix, "_file").withColumn("shard", shard.cast("int"))
         rows = rows.withColumn("_key", F.xxhash64(F.lit(seed + 1), F.col("_part"), F.col("_place")))
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_key")), F.lit(buckets)).cast("int"))
 
-    sizes = dealt(placed.select("_part", "_place")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # at most shards * MOST_BUCKETS rows
+    sizes = dealt(placed.select("_file", "_place")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # at most shards * MOST_BUCKETS rows
     first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "_bucket", "_first")
     order = Window.partitionBy("shard", "_bucket").orderBy("_key", "_part", "_place")
     out = dealt(placed).withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(first), ["shard", "_bucket"])

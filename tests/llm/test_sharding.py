@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from harrow.llm import sharding
 from harrow.llm.sharding import communication_matrix, hypergeometric, permuted, shard_documents, write_shards
 
 
@@ -58,3 +59,28 @@ def test_empty_and_files(spark, tmp_path):
     write_shards(spark.range(100).withColumnRenamed("id", "doc_id"), f"file://{tmp_path}/s", 4)
     back = spark.read.parquet(f"file://{tmp_path}/s")
     assert back.count() == 100 and {r["count"] for r in back.groupBy("shard").count().collect()} == {25}
+
+
+def test_splits_change_between_passes(spark, tmp_path, monkeypatch):
+    path, key = f"file://{tmp_path}/d", "spark.sql.files.maxPartitionBytes"
+    spark.range(1000).withColumnRenamed("id", "doc_id").repartition(8).write.parquet(path)
+    drawn, usual = sharding.communication_matrix, spark.conf.get(key)
+
+    def resplit(*args):
+        spark.conf.set(key, "300")
+        return drawn(*args)
+
+    monkeypatch.setattr(sharding, "communication_matrix", resplit)
+    docs = spark.read.parquet(path)
+    try:
+        for df, stable, n in ((docs, True, 1000), (docs, False, 1000), (docs.where("doc_id % 3 = 0"), True, 334)):
+            spark.conf.set(key, usual)
+            got = shard_documents(df, 7, stable=stable).collect()
+            assert len({r.doc_id for r in got}) == len(got) == n
+            by = {}
+            for r in got:
+                by.setdefault(r.shard, []).append(r.slot)
+            assert sorted(by) == list(range(7)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+            assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    finally:
+        spark.conf.set(key, usual)
