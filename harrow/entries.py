@@ -115,7 +115,7 @@ add("analyze_stopped", lambda s, d: read_table(s, d, "documents").select("doc_id
 def _english(spark: SparkSession, d: str) -> DataFrame:
     from .functions.english import analyze_english, normalize_query
 
-    docs = read_table(spark, d, "documents").where("lang = 'en'").withColumn("doc", analyze_english(F.col("text")))
+    docs = read_table(spark, d, "documents").withColumn("doc", analyze_english(F.col("text")))
     return docs.where(matches(F.col("doc"), normalize_query(parse("nations | running | the shining")))).select("doc_id", F.col("doc.length").alias("length"))
 
 
@@ -264,6 +264,9 @@ WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^0-9A-Za-z\x
 s AS (SELECT doc_id, p, unnest(range(0, greatest(len(p) - 6, 0) + 1)) AS i FROM x),
 b AS (SELECT doc_id, any_value(p) AS p, arg_max(i, len(list_filter(p[i + 1 : i + 6], lambda t: lower(t) IN ('with', 'was'))) * 1000000 - i) AS i FROM s GROUP BY doc_id)
 SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE CASE WHEN i > 0 THEN '...' ELSE '' END || array_to_string(list_transform(p[i + 1 : i + 6], lambda t: CASE WHEN lower(t) IN ('with', 'was') THEN '[' || t || ']' ELSE t END), ' ') || CASE WHEN i + 6 < len(p) THEN '...' ELSE '' END END AS h FROM b""")
+# Over every row and the whole text, without SQL: DuckDB folds some characters otherwise.
+add("highlight_all", lambda s, d: read_table(s, d, "documents").select("doc_id", presentation.highlight(F.col("text"), parse("with | !was"), "[", "]").alias("h")))
+add("snippet_all", lambda s, d: read_table(s, d, "documents").select("doc_id", presentation.snippet(F.col("text"), parse("with was"), "[", "]", "...", 6).alias("h")))
 
 # --- vectors ------------------------------------------------------------------------------------------------------------------------
 
@@ -318,14 +321,15 @@ for _n, _mm in ((True, "l2"), (False, "l2"), (True, "ip")):
     add(f"fused_{_mm}{'' if _n else '_raw'}", _fused(_n, _mm), _fused_sql(_n, _mm))
 
 
-def _fuse_value(spark: SparkSession, d: str) -> DataFrame:
+def _fuse_value_all(spark: SparkSession, d: str) -> DataFrame:
     rows, q = _with_vectors(spark, d), parse("with")
     lex = rank.lexscore(rank.distance(rank.value_score(F.col("doc"), q)))
     vec = vector.cosine_score(vector.cosine_distance(F.col("embedding"), vector.literal(_probe(spark, d))))
-    return rows.select("doc_id", F.round(fusion.fuse([lex, vec], [0.5, 3.0]), 6).alias("f")).orderBy(F.asc_nulls_last("f"), "doc_id").limit(520)
+    return rows.select("doc_id", F.round(fusion.fuse([lex, vec], [0.5, 3.0]), 6).alias("f")).orderBy(F.asc_nulls_last("f"), "doc_id")
 
 
-add("fuse_value", _fuse_value, f"WITH {_J}, {_PROBE} SELECT doc_id, round(-(0.5 * (ln(4.0 / 3) * {_tf('with')} * 2.2 / ({_tf('with')} + 1.2)) + 3 * list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))), 6) AS f FROM d, q ORDER BY f NULLS LAST, doc_id LIMIT 520")
+add("fuse_value_all", _fuse_value_all)
+add("fuse_value", lambda s, d: _fuse_value_all(s, d).limit(520), f"WITH {_J}, {_PROBE} SELECT doc_id, round(-(0.5 * (ln(4.0 / 3) * {_tf('with')} * 2.2 / ({_tf('with')} + 1.2)) + 3 * list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))), 6) AS f FROM d, q ORDER BY f NULLS LAST, doc_id LIMIT 520")
 add("reciprocal_rank_fusion", lambda s, d: fusion.reciprocal_rank_fusion([rank.search(documents(s, d), "with", 50), vector.nearest(read_table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _probe(s, d), 50, id_column="doc_id")], "doc_id", [("score", True), ("distance", False)], 30), f"""
 WITH {_D}, {_stats_sql(['with'])}, {_V}, {_PROBE}, a AS (SELECT doc_id, round({_bm25_sql(['with'])}, 6) AS s FROM d, st WHERE {_has('with')} ORDER BY s DESC, doc_id LIMIT 50), b AS (SELECT vec_id AS doc_id, round({_DIST['l2']}, 6) AS s FROM e, q ORDER BY s, vec_id LIMIT 50),
 r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, doc_id)) AS x FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s, doc_id)) FROM b) SELECT doc_id, round(sum(x), 6) AS score FROM r GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,14 +13,30 @@ from ..plans.query import Node, literals
 _TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
+@lru_cache(maxsize=1)
+def _folded() -> dict[str, list[str]]:
+    """The characters that ``fold`` turns into each character."""
+    out: dict[str, list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        small = {"İ": "i", "Σ": "σ"}.get(c, c.lower())
+        if small != c:
+            out.setdefault(small, []).append(c)
+    return out
+
+
+def _class(c: str) -> str:
+    """A regular expression for one character that folds to ``c``."""
+    return "[" + "".join(f"\\x{{{ord(x):X}}}" for x in [c, *_folded().get(c, [])]) + "]"
+
+
 def highlight(text: Column, query: Node | None, pre: str = "<b>", post: str = "</b>") -> Column:
     """Every token whose folded form is a term of the query, whatever its operators, between ``pre`` and ``post``."""
     terms = sorted(set(literals(query)), key=len, reverse=True)
     if not terms:
         return text
-    any_of = "|".join(re.escape(t) for t in terms)
+    any_of = "|".join("".join(_class(c) for c in t) for t in terms)
     literal = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(text, f"(?iu)(?<!{_TOKEN})({any_of})(?!{_TOKEN})", f"{literal(pre)}$1{literal(post)}")
+    return F.regexp_replace(text, f"(?<!{_TOKEN})({any_of})(?!{_TOKEN})", f"{literal(pre)}$1{literal(post)}")
 
 
 def snippet(text: Column, query: Node | None, pre: str = "<b>", post: str = "</b>", ellipsis: str = "...", max_tokens: int = 15) -> Column:
@@ -32,10 +48,10 @@ def snippet(text: Column, query: Node | None, pre: str = "<b>", post: str = "</b
 
     def shown(m: Column) -> Column:
         n = F.size(m)
-        # running sums of hits, so that each window takes one subtraction
-        sums = F.aggregate(m, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["h"].cast("int"))))
-        starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
-        best = F.transform(F.array(sums), lambda s: F.array_max(F.transform(starts, lambda i: F.struct((s[F.least(i + width, n)] - s[i]).alias("hits"), (-i).alias("i")))))[0]["i"]
+        # the first best window is the first of all or ends in a hit: one step to the left has fewer hits
+        ends = F.filter(F.transform(m, lambda x, i: F.when(x["h"], i)), lambda i: i >= width)
+        starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda i: i - (width - 1)))
+        best = F.array_max(F.transform(starts, lambda i: F.struct(F.size(F.filter(F.slice(m, i + 1, F.lit(width)), lambda x: x["h"])).alias("hits"), (-i).alias("i"))))["i"]
         return F.transform(F.array(-best), lambda at: F.concat(
             F.when(at > 0, ellipsis).otherwise(""),
             F.array_join(F.transform(F.slice(m, at + 1, F.lit(width)), lambda x: F.when(x["h"], F.concat(F.lit(pre), x["w"], F.lit(post))).otherwise(x["w"])), " "),
