@@ -233,6 +233,9 @@ add("max_tf", lambda s, d: documents(s, d).agg(*[F.max(term_frequency(F.col("doc
 _ASCII = "regexp_full_match(t, '[a-z0-9]+')"
 add("fuzzy_vocabulary", lambda s, d: vocabulary.fuzzy_terms(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")), f"WITH {_D}, v AS (SELECT t AS term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS t FROM d) WHERE {_ASCII} GROUP BY t) SELECT term, df, CAST(levenshtein(term, 'with') AS BIGINT) AS distance FROM v WHERE levenshtein(term, 'with') <= 2")
 add("edit_distance_order", lambda s, d: vocabulary.nearest_by_edits(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "thereon", 40), f"WITH {_D}, v AS (SELECT doc_id, list_filter(w, lambda t: {_ASCII}) AS w FROM d) SELECT doc_id, coalesce(list_min(list_transform(w, lambda t: levenshtein(t, 'thereon')))::DOUBLE, 'inf'::DOUBLE) AS distance FROM v ORDER BY distance, doc_id LIMIT 40")
+# Over all tokens, without SQL: DuckDB's levenshtein counts bytes.
+add("fuzzy_vocabulary_all", lambda s, d: vocabulary.fuzzy_terms(documents(s, d), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")))
+add("edit_distance_order_all", lambda s, d: vocabulary.nearest_by_edits(documents(s, d), "thereon", 40))
 add("anomalous_docs", lambda s, d: vocabulary.anomalous_docs(documents(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
 add("index_invariants", lambda s, d: measures.check_index(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")), vocabulary.postings(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")))), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
 

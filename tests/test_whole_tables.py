@@ -65,3 +65,28 @@ def test_fuse_value(spark, tables):
 
 def test_english_match_reads_every_language(spark, tables):
     assert {r.doc_id for r in entries.QUERIES["english_match"](spark, tables[0]).collect()} == {5}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_over_all_tokens(spark, tmp_path):
+    texts = ["wïth with", "wíth other", "日本 wit", "théreon", "thereö", "日本", "", None, "𝔴ith"]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    seen = {}
+    for i, t in enumerate(texts):
+        for w in words(t or ""):
+            seen.setdefault(folded(w), set()).add(i)
+    want = sorted((w, len(at), edits(w, "with")) for w, at in seen.items() if edits(w, "with") <= 2)
+    got = sorted(map(tuple, entries.QUERIES["fuzzy_vocabulary_all"](spark, d).collect()))
+    assert got == want and ("wïth", 1, 1) in got and ("日本", 2, 4) not in got
+    want = sorted((float(min((edits(folded(w), "thereon") for w in words(t)), default=np.inf)), i) for i, t in enumerate(texts) if t is not None)
+    got = [(r.distance, r.doc_id) for r in entries.QUERIES["edit_distance_order_all"](spark, d).collect()]
+    assert got == want and got[0] == (1.0, 3)
