@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
 
 def _same(a: Column, b: Column, value: Column) -> Column:
     differ = F.raise_error(F.concat(F.lit("different vector dimensions "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
@@ -119,12 +122,31 @@ def nearest(table: DataFrame, query: list[float], k: int = 10, metric: str = "l2
     return rows.select(id_column, d.alias("distance")).where("distance is not null").orderBy("distance", id_column).limit(k)
 
 
-def nearest_many(table: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", most: int = 4096) -> DataFrame:
-    """The k nearest of each of up to ``most`` queries (query_id, query): queries are sent to the vectors, each task keeps k rows a query."""
-    held = [(r.query_id, list(r.query)) for r in queries.orderBy("query_id").limit(most + 1).collect()]
-    if len(held) > most:
-        raise ValueError(f"more than {most} queries")
+def nearest_many(table: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", block: int = 4096) -> DataFrame:
+    """The k nearest of each query (query_id, query): blocks of queries are sent to the vectors, each task keeps k rows a query.
+
+    One block is answered lazily; of more, each block's k rows a query go to the scratch folder, so that the driver holds one block at a time.
+    """
+    spark = table.sparkSession
+    held = iter(queries.select("query_id", "query").orderBy("query_id").toLocalIterator())
     kind = queries.schema["query_id"].dataType
+    first, second = list(islice(held, block)), list(islice(held, block))
+    if not second:
+        return _best(_nearest_block(table, first, kind, k, metric), k)
+    path = scratch(spark, "nearest")
+    for rows in chain([first, second], iter(lambda: list(islice(held, block)), [])):
+        _best(_nearest_block(table, rows, kind, k, metric), k).drop("rank").write.mode("append").parquet(path)
+    return _best(spark.read.parquet(path), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest_block(table: DataFrame, queries: list, kind: T.DataType, k: int, metric: str) -> DataFrame:
+    """query_id, vec_id, distance: of each task the k nearest of each query."""
+    held = [(r.query_id, list(r.query)) for r in queries]
     id_kind = table.schema["vec_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("vec_id", id_kind), T.StructField("distance", T.DoubleType())])
 
@@ -150,12 +172,8 @@ def nearest_many(table: DataFrame, queries: DataFrame, k: int = 10, metric: str
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=schema.names)
 
-    from pyspark.sql import Window
-
     table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    partial = table.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return table.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, schema)
 
 
 # --- quantization -------------------------------------------------------------------------------------------------------------------

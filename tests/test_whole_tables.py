@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from harrow import entries
+from harrow.operators import vector
 
 TEXTS = [(0, "de", "WITH and With, wıth waſ wİth Was"), (1, "en", "x " * 5000 + "with a was b with c was " + "y " * 4000), (2, "fr", None), (3, "ja", "日本 with 日本with was"), (4, "en", "?!"), (5, "es", "The running él " * 1500), (6, "en", "was with " + "z " * 9 + "with was with")]
 FOLD = {"İ": "i", "Σ": "σ"}
@@ -90,3 +91,16 @@ def test_edit_distances_over_all_tokens(spark, tmp_path):
     want = sorted((float(min((edits(folded(w), "thereon") for w in words(t)), default=np.inf)), i) for i, t in enumerate(texts) if t is not None)
     got = [(r.distance, r.doc_id) for r in entries.QUERIES["edit_distance_order_all"](spark, d).collect()]
     assert got == want and got[0] == (1.0, 3)
+
+
+def test_more_queries_than_a_block(spark):
+    x = np.random.default_rng(5).integers(-9, 9, size=(30, 2)).astype(float)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = spark.range(9000).selectExpr("id as query_id", "array(cast(id % 17 - 8 as float), cast(id % 11 - 5 as float)) as query")
+    got = {}
+    for r in vector.nearest_many(e, q, 3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.distance, r.vec_id)
+    assert len(got) == 9000
+    for i, best in got.items():
+        d = np.sqrt(((x - [i % 17 - 8, i % 11 - 5]) ** 2).sum(axis=1))
+        assert [best[n] for n in (1, 2, 3)] == sorted((round(float(v), 6), j) for j, v in enumerate(d))[:3]
