@@ -225,6 +225,10 @@ add("index_count", _index_counts, f"WITH {_D} " + " UNION ALL ".join(f"SELECT '{
 add("index_vocabulary", lambda s, d: _index(s, d).vocabulary, f"WITH {_D}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL) SELECT term, count(*) AS df, max(tf) AS max_tf FROM p GROUP BY term")
 add("document_round_trip", lambda s, d: read_table(s, d, "part").select("p_partkey", text_form(set_zone(analyze(F.col("p_name")), "C")).alias("form")).select("p_partkey", (text_form(from_text_form(F.col("form"))) == F.col("form")).alias("same")), "SELECT p_partkey, true AS same FROM part")
 
+# Over whole documents, without SQL: a text without tokens has a row too.
+add("document_text_form_all", lambda s, d: documents(s, d).select("doc_id", text_form(F.col("doc")).alias("form"), text_form(set_zone(F.col("doc"), "B")).alias("zoned")))
+add("document_round_trip_all", lambda s, d: documents(s, d).select("doc_id", text_form(set_zone(F.col("doc"), "C")).alias("form")).select("doc_id", (text_form(from_text_form(F.col("form"))) == F.col("form")).alias("same")))
+
 # --- vocabulary ---------------------------------------------------------------------------------------------------------------------
 
 add("term_stats", lambda s, d: vocabulary.term_stats(documents(s, d)), f"WITH {_D} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")
@@ -237,7 +241,7 @@ add("edit_distance_order", lambda s, d: vocabulary.nearest_by_edits(documents(s,
 add("fuzzy_vocabulary_all", lambda s, d: vocabulary.fuzzy_terms(documents(s, d), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")))
 add("edit_distance_order_all", lambda s, d: vocabulary.nearest_by_edits(documents(s, d), "thereon", 40))
 add("anomalous_docs", lambda s, d: vocabulary.anomalous_docs(documents(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
-add("index_invariants", lambda s, d: measures.check_index(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")), vocabulary.postings(read_table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), analyze(F.col("p_name")).alias("doc")))), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
+add("index_invariants", lambda s, d: measures.check_stored(documents(s, d), _index(s, d).postings), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
 
 # --- substrings and similarity ------------------------------------------------------------------------------------------------------
 

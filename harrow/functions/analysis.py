@@ -90,17 +90,22 @@ def term_frequency(doc: Column, term: str) -> Column:
 
 def text_form(doc: Column) -> Column:
     """``'term':tf@p1,p2A`` for each distinct term in order; zones are written but for D."""
-    terms = F.array_sort(F.array_distinct(doc["tokens"]))
     every = F.arrays_zip(doc["tokens"].alias("t"), doc["pos"].alias("p"), doc["zone"].alias("z"))
+    ordered = F.array_sort(F.transform(every, lambda s, i: F.struct(s["t"].alias("t"), i.alias("i"), s["p"].alias("p"), s["z"].alias("z"))))
     label = lambda z: F.when(z == 8, "A").when(z == 4, "B").when(z == 2, "C").otherwise("")
 
-    def one(term: Column) -> Column:
-        own = F.filter(every, lambda s: s["t"] == term)
+    def one(own: Column) -> Column:
         places = F.concat_ws(",", F.transform(own, lambda s: F.concat(s["p"].cast("string"), label(s["z"]))))
-        quoted = F.concat(F.lit("'"), F.replace(term, F.lit("'"), F.lit("''")), F.lit("':"), F.size(own).cast("string"))
+        quoted = F.concat(F.lit("'"), F.replace(own[0]["t"], F.lit("'"), F.lit("''")), F.lit("':"), F.size(own).cast("string"))
         return F.when(doc["has_pos"], F.concat(quoted, F.lit("@"), places)).otherwise(quoted)
 
-    return F.when(doc.isNotNull(), F.concat_ws(" ", F.transform(terms, one)))
+    def entries(m: Column) -> Column:
+        # a term's places stand together: each run is cut out once
+        starts = F.filter(F.transform(m, lambda x, i: F.when(~F.get(m, i - 1)["t"].eqNullSafe(x["t"]), i)), lambda i: i.isNotNull())
+        cut = lambda at: F.transform(at, lambda i, k: F.slice(m, i + 1, F.coalesce(F.get(at, k + 1), F.size(m)) - i))
+        return F.transform(F.transform(F.array(starts), cut)[0], one)
+
+    return F.when(doc.isNotNull(), F.concat_ws(" ", F.transform(F.array(ordered), entries)[0]))
 
 
 def _from_entries(text: Column, pattern: str, names: int, places: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vocabulary import postings
+
 
 def check_index(docs: DataFrame, postings: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(check, violations): postings belong to documents, frequencies add up to lengths, positions ascend, terms are not empty."""
@@ -14,6 +16,12 @@ def check_index(docs: DataFrame, postings: DataFrame, id_column: str = "doc_id")
     return r.unpivot([], r.columns, "check", "violations")
 
 
+def check_stored(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``check_index`` of a stored index's postings (term, doc_id, tf) against the positions of ``docs``: lost, doubled and foreign postings count."""
+    found = postings(docs).drop("tf").join(stored.select("term", "doc_id", "tf"), ["term", "doc_id"], "full")
+    return check_index(docs, found.withColumns({"tf": F.coalesce("tf", F.lit(0)), "positions": F.coalesce("positions", F.array().cast("array<int>"))}))
+
+
 def ranking_measures(run: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """Per query nDCG@k, recall@k and reciprocal rank of run (qid, doc_id, rank) against judgements (qid, doc_id, rel)."""
     gain = lambda rel, rank: (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + 1)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def postings(docs: DataFrame, doc: str = "doc", id_column: str = "doc_id") -> DataFrame:
-    """(term, id, tf, positions): one row for each distinct term of a document, made without an exchange."""
+    """(term, id, tf, positions): one row for each distinct term of an id, linear in the tokens."""
     d = F.col(doc)
-    every = F.arrays_zip(d["tokens"].alias("t"), d["pos"].alias("p"))
-    terms = F.transform(F.array_distinct(d["tokens"]), lambda t: F.struct(t.alias("term"), F.transform(F.filter(every, lambda s: s["t"] == t), lambda s: s["p"]).alias("positions")))
-    return docs.select(F.col(id_column), F.explode(terms).alias("x")).select("x.term", id_column, F.size("x.positions").alias("tf"), "x.positions")
+    every = docs.select(F.col(id_column), F.posexplode(F.arrays_zip(d["tokens"].alias("t"), d["pos"].alias("p"))).alias("i", "x"))
+    found = every.groupBy(F.col("x.t").alias("term"), id_column).agg(F.array_sort(F.collect_list(F.struct("i", "x.p"))).alias("s"))
+    return found.select("term", id_column, F.size("s").alias("tf"), F.col("s.p").alias("positions"))
 
 
 def term_pairs(docs: DataFrame, doc: str = "doc", id_column: str = "doc_id") -> DataFrame:

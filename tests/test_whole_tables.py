@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from harrow import entries
 from harrow.operators import vector
@@ -104,3 +105,36 @@ def test_more_queries_than_a_block(spark):
     for i, best in got.items():
         d = np.sqrt(((x - [i % 17 - 8, i % 11 - 5]) ** 2).sum(axis=1))
         assert [best[n] for n in (1, 2, 3)] == sorted((round(float(v), 6), j) for j, v in enumerate(d))[:3]
+
+
+def test_text_forms_of_documents(spark, tables):
+    d, rows, _ = tables
+    got = {r.doc_id: (r.form, r.zoned) for r in entries.QUERIES["document_text_form_all"](spark, d).collect()}
+    for i, _, t, _ in rows:
+        at = {}
+        for k, w in enumerate(map(folded, words(t or "")), 1):
+            at.setdefault(w, []).append(k)
+        form = lambda z: " ".join(f"'{w}':{len(p)}@{','.join(f'{k}{z}' for k in p)}" for w, p in sorted(at.items(), key=lambda x: x[0].encode()))
+        assert got[i] == ((None, None) if t is None else (form(""), form("B")))
+    same = {r.doc_id: r.same for r in entries.QUERIES["document_round_trip_all"](spark, d).collect()}
+    assert same == {i: None if t is None else True for i, _, t, _ in rows}
+
+
+def test_invariants_see_the_stored_index(spark, tables, monkeypatch):
+    d, good = tables[0], entries._index
+    assert {r.violations for r in entries.QUERIES["index_invariants"](spark, d).collect()} == {0}
+
+    def spoilt(change):
+        def index(s, d):
+            i = good(s, d)
+            i.postings = change(i.postings)
+            return i
+
+        monkeypatch.setattr(entries, "_index", index)
+        return {r.check: r.violations for r in entries.QUERIES["index_invariants"](spark, d).collect()}
+
+    one = "doc_id = 1 and term = 'with'"
+    lost = spoilt(lambda p: p.where(f"not ({one})"))
+    assert lost["frequencies differ from the length"] == 1 and lost["positions differ from the frequency"] == 1
+    assert spoilt(lambda p: p.unionByName(p.where(one)))["frequencies differ from the length"] == 1
+    assert spoilt(lambda p: p.unionByName(p.where(one).withColumn("doc_id", F.lit(-5).cast("long"))))["postings without a document"] == 1
