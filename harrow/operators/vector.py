@@ -231,7 +231,10 @@ def with_quantized(table: DataFrame, bits: int = 4, vector_column: str = "embedd
             some = [i for i in range(batch.num_rows) if column[i].is_valid]
             out: list = [None] * batch.num_rows
             if some:
-                x = quantize(np.array([column[i].as_py() for i in some], dtype=np.float64), bits)
+                x = np.array([column[i].as_py() for i in some], dtype=np.float64)
+                coded = x.any(axis=1)  # zero is its own code
+                if coded.any():
+                    x[coded] = quantize(x[coded], bits)
                 for i, v in zip(some, x, strict=True):
                     out[i] = v.astype(np.float32).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=schema.names)
@@ -241,10 +244,19 @@ def with_quantized(table: DataFrame, bits: int = 4, vector_column: str = "embedd
 
 
 def nearest_two_stage(table: DataFrame, query: list[float], k: int = 10, bits: int = 4, window: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """Top ``window * k`` on quantized vectors, then exact distances of those."""
-    coded = with_quantized(table.select(id_column, vector_column).where(F.col(vector_column).isNotNull()), bits, vector_column)
-    first = coded.select(id_column, vector_column, l2(F.col("approx"), literal(query)).alias("d")).orderBy("d", id_column).limit(window * k)
-    return first.select(id_column, F.round(l2(F.col(vector_column), literal(query)), 6).alias("distance")).orderBy("distance", id_column).limit(k)
+    """The exact top k: of ``window * k`` rows by quantized distance, the k-th exact distance bounds which rows can still be among them.
+
+    A row is no nearer than its quantized distance less its quantization error, so only rows beyond the bound by that are left out.
+    """
+    d = F.col(vector_column)
+    exact = l2(d, literal(query))
+    coded = with_quantized(table.select(id_column, vector_column).where(d.isNotNull()), bits, vector_column)
+    rows = coded.select(id_column, vector_column, l2(F.col("approx"), literal(query)).alias("d"), l2(d, F.col("approx")).alias("error"))
+    first = rows.orderBy("d", id_column).limit(max(window, 1) * k).select(exact.alias("e")).orderBy("e").limit(k)
+    edge = first.agg((F.max("e") * (1 + 1e-9) + 2e-6).alias("edge"))  # distances that round alike tie by id
+    low = F.col("d") * (1 - 1e-9) - F.col("error") * (1 + 1e-9)
+    near = rows.crossJoin(F.broadcast(edge)).where((low <= F.col("edge")) | F.isnan(low))
+    return near.select(id_column, F.round(exact, 6).alias("distance")).orderBy("distance", id_column).limit(k)
 
 
 # --- scores of distances ------------------------------------------------------------------------------------------------------------

@@ -138,3 +138,14 @@ def test_invariants_see_the_stored_index(spark, tables, monkeypatch):
     assert lost["frequencies differ from the length"] == 1 and lost["positions differ from the frequency"] == 1
     assert spoilt(lambda p: p.unionByName(p.where(one)))["frequencies differ from the length"] == 1
     assert spoilt(lambda p: p.unionByName(p.where(one).withColumn("doc_id", F.lit(-5).cast("long"))))["postings without a document"] == 1
+
+
+def test_quantized_is_exact_with_copies_and_zeros(spark, sf):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.ones((300, 8)) + rng.normal(size=(300, 8)) * 1e-3, rng.normal(size=(50, 8)), np.zeros((2, 8))]).astype("float32")
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for probe in (x[5].tolist(), [0.0] * 8):
+        assert vector.nearest_two_stage(e, probe, 10, 4, 2).collect() == vector.nearest(e, probe, 10).collect()
+    held = spark.read.parquet(f"{sf}/embeddings.parquet")
+    for r in held.where("vec_id % 50 = 0").collect():
+        assert vector.nearest_two_stage(held, list(r.embedding)).collect() == vector.nearest(held, list(r.embedding)).collect()
