@@ -27,7 +27,13 @@ def ranking_measures(run: DataFrame, judged: DataFrame, k: int = 10) -> DataFram
     gain = lambda rel, rank: (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + 1)
     hits = run.where(F.col("rank") <= k).join(judged.where("rel > 0"), ["qid", "doc_id"])
     got = hits.groupBy("qid").agg(F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg"), F.count("*").alias("found"), F.min("rank").alias("first"))
-    best = judged.where("rel > 0").withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")))
-    ideal = best.groupBy("qid").agg(F.sum(F.when(F.col("i") <= k, gain(F.col("rel"), F.col("i"))).otherwise(0.0)).alias("idcg"), F.count("*").alias("relevant"))
+    counts = judged.where("rel > 0").groupBy("qid", "rel").agg(F.count("*").alias("n"))
+    relevant = counts.groupBy("qid").agg(F.sum("n").alias("relevant"))
+    # ranks 1 to k of the ideal order need the k largest relevances at most, and only how often each occurs
+    down = Window.partitionBy("qid").orderBy(F.desc("rel"))
+    most = counts.withColumn("i", F.row_number().over(down)).where(F.col("i") <= k)
+    runs = most.withColumn("end", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n")).where(F.col("start") < k)
+    ranks = runs.select("qid", "rel", F.explode(F.sequence(F.col("start") + 1, F.least("end", F.lit(k).cast("long")))).alias("i"))
+    ideal = ranks.groupBy("qid").agg(F.sum(gain(F.col("rel"), F.col("i"))).alias("idcg")).join(relevant, "qid")
     z = ideal.join(got, "qid", "left")
     return z.select("qid", F.round(F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)), 6).alias("ndcg"), F.round(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow import entries
-from harrow.operators import vector
+from harrow.operators import measures, vector
 
 TEXTS = [(0, "de", "WITH and With, wıth waſ wİth Was"), (1, "en", "x " * 5000 + "with a was b with c was " + "y " * 4000), (2, "fr", None), (3, "ja", "日本 with 日本with was"), (4, "en", "?!"), (5, "es", "The running él " * 1500), (6, "en", "was with " + "z " * 9 + "with was with")]
 FOLD = {"İ": "i", "Σ": "σ"}
@@ -149,3 +149,19 @@ def test_quantized_is_exact_with_copies_and_zeros(spark, sf):
     held = spark.read.parquet(f"{sf}/embeddings.parquet")
     for r in held.where("vec_id % 50 = 0").collect():
         assert vector.nearest_two_stage(held, list(r.embedding)).collect() == vector.nearest(held, list(r.embedding)).collect()
+
+
+def test_ranking_measures_gather_no_group(spark):
+    rng = np.random.default_rng(2)
+    judged = [(q, i, int(rng.integers(0, 4))) for q in (1, 2, 3) for i in range(60 if q < 3 else 4)]
+    run = [(q, int(i), r) for q in (1, 2) for r, i in enumerate(rng.permutation(60)[:20], 1)]
+    out = measures.ranking_measures(spark.createDataFrame(run, "qid int, doc_id int, rank int"), spark.createDataFrame(judged, "qid int, doc_id int, rel int"), 10)
+    rel = {(q, i): r for q, i, r in judged}
+    gain = lambda r, k: (2**r - 1) / np.log2(k + 1)
+    for row in out.collect():
+        best = sorted((r for q, _, r in judged if q == row.qid and r > 0), reverse=True)
+        hits = [(rel[q, i], k) for q, i, k in run if q == row.qid and k <= 10 and rel[q, i] > 0]
+        assert row.ndcg == pytest.approx(sum(gain(*h) for h in hits) / sum(gain(r, k) for k, r in enumerate(best[:10], 1)), abs=1e-6)
+        assert row.recall == pytest.approx(len(hits) / len(best), abs=1e-6)
+        assert row.mrr == pytest.approx(1 / min(k for _, k in hits) if hits else 0, abs=1e-6)
+    assert out.count() == 3 and "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
