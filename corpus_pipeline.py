@@ -27,14 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; of rows with one id one stays. Rows without an id stay."""
-    classes = written(near_duplicates(docs), "classes")
-    removed = classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    n_removed, n_ids, n_rows = removed.count(), classes.where("doc_id is not null").select("doc_id").distinct().count(), classes.where("doc_id is not null").count()
-    kept = docs.join(F.broadcast(removed) if n_removed <= BROADCAST_IDS else removed, "doc_id", "left_anti").select(*docs.columns)
-    if n_ids < n_rows:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each class of near duplicates one row: with the smallest id, or any where all ids are null. Rows without a text stay."""
+    found = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if found.ids == found.rows:
+        classes = written(near_duplicates(docs), "classes")
+        removed = classes.where("doc_id <> class_id").select("doc_id")
+        n_removed = removed.count()
+        return docs.join(F.broadcast(removed) if n_removed <= BROADCAST_IDS else removed, "doc_id", "left_anti").select(*docs.columns)
+    # ids repeat or are null: rows are named by their place in a written copy, and classes are of rows
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = written(near_duplicates(rows, "_row"), "classes").withColumnRenamed("doc_id", "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")
+    kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
