@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import on_worker, text_batches
+from .shared import by_bytes, on_worker
 
 #: Characters of a piece, about.
 PIECE = 65_536
@@ -60,13 +60,12 @@ def encode(documents: DataFrame, path: str, pattern: str, id_column: str = "doc_
     strings of special tokens are ordinary text. Null counts as empty and gives an empty array. One row comes out for each row that
     goes in; null ids and repeated rows stay; columns not named are ignored. An empty table gives an empty result.
     """
-    text_batches(documents.sparkSession)
     kept = [documents.schema[c] for c in keep]
     schema = T.StructType([T.StructField("doc_id", documents.schema[id_column].dataType), *kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = on_worker(_loaded, (path, pattern), lambda: load_encoding(path, pattern))
-        for batch in batches:
+        for batch in by_bytes(batches, len(schema) - 1):
             ids = [np.array(encode_text(enc, t, piece), dtype=np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -84,7 +83,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = on_worker(_loaded, (path, pattern), lambda: load_encoding(path, pattern))
-        for batch in batches:
+        for batch in by_bytes(batches, where):
             out = [None if x is None else enc.decode_bytes(x) for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
@@ -97,10 +96,11 @@ def digests(decoded: DataFrame) -> DataFrame:
     rows = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             lists = batch.column(1)
-            values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            offsets = lists.offsets.to_numpy()
+            offsets = lists.offsets.to_numpy()  # of a slice: not from 0
+            values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype("<u4")
+            offsets = offsets - offsets[0]
             n = np.diff(offsets)
             hexes = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hexes), batch.column(2)], names=schema.names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_batches
+from .shared import by_bytes
 
 START = ""
 
@@ -79,7 +79,6 @@ def format_conversations(turns: DataFrame, template: Template = Template(), id_c
     Null roles and texts count as empty; rows with a null id are one conversation; repeated rows are turns of their own; other columns are
     ignored. An empty table gives an empty result.
     """
-    text_batches(turns.sparkSession)
     kind = turns.schema[id_column].dataType
     schema = T.StructType([T.StructField("conv_id", kind), T.StructField("place", T.LongType()), T.StructField("role", T.StringType()), T.StructField("segments", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("loss", T.BooleanType())]))), T.StructField("allowed", T.BooleanType()), T.StructField("complete", T.BooleanType())])
     rows = turns.select(F.col(id_column).alias("conv_id"), F.col(turn_column).alias("turn"), F.coalesce(F.col(role_column), F.lit("")).alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -94,7 +93,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), id_c
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
         arrow = None
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             arrow, out = batch.schema.field(0).type, []
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not begun or conv != name:

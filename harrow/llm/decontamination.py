@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_batches, written
+from .shared import by_bytes, written
 from .textbytes import words_of
 
 #: Words in a window, bytes of text in a shard, and every how many text positions one is sampled.
@@ -213,7 +213,7 @@ def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column:
             return pa.RecordBatch.from_arrays([*first, *cols], names=schema.names)
 
         size = 0
-        for batch in batches:
+        for batch in by_bytes(batches, width, SHARD_BYTES):
             values, begin = batch.column(width).to_pylist(), 0
             for i, v in enumerate(values):
                 size += len(v or b"")
@@ -240,7 +240,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
     single longer item is a set of its own), and the sets' spans are merged.
     """
     spark = documents.sparkSession
-    text_batches(spark)
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sets = max(1, -(-int(total) // pattern_bytes))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import text_batches, written
+from .shared import by_bytes, written
 from .textbytes import chunks, mix, shingles_of, words_of
 
 #: Words in a shingle, least similarity, bands of registers, registers in a band, members in a tile.
@@ -185,7 +185,7 @@ def _signed(documents: DataFrame, id_column: str, text_column: str, shingle: int
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             texts = batch.column(1).to_pylist()
             keys: list[bytes | None] = []
             buckets: list[np.ndarray | None] = []
@@ -207,7 +207,7 @@ def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
     """key, shingles, weights (empty: all 1) of rows (key, text) whose text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 of, s, w, own = weighted_shingles(texts[a:b], shingle)
@@ -249,7 +249,6 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     classes; null ids don't name a class unless all ids of a class are null. Other columns are ignored; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    text_batches(spark)
     signed = written(_signed(documents, id_column, text_column, shingle, bands, rows), "signed")
     texts = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets"))
     held = texts.select("key", "doc_id", F.explode("buckets").alias("bucket"))

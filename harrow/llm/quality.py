@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_batches
+from .shared import by_bytes
 from .textbytes import chunks, shingles_of, words_of
 
 #: Hashed byte pairs; and the most positives and the most unlabelled texts that a fit takes, those whose hashed ids are smallest.
@@ -111,7 +111,6 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_i
     model gives the prior to every text. Rows with a null id or label teach nothing; a null text counts as empty; other columns are ignored.
     """
     spark = documents.sparkSession
-    text_batches(spark)
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     count, share = known.agg(F.count("*"), F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()
     prior = min(0.95, max(0.05, share)) if count else 0.5
@@ -122,7 +121,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_i
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(sides), "id").select("positive", "unlabelled", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             values = batch.column(2).to_pylist()
             rows = [r.tobytes() for a, b in chunks(values) for r in features(values[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["positive", "unlabelled", "x"])
@@ -143,14 +142,13 @@ def score_quality(documents: DataFrame, model: Model, text_column: str = "text")
 
     A null text counts as empty; both have a score. All rows and other columns stay as they are. An empty table gives an empty result.
     """
-    text_batches(documents.sparkSession)
     rows = documents.drop("score")
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     at = rows.columns.index(text_column)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             values = batch.column(at).cast(pa.binary()).to_pylist()
             scores = [np.zeros(0)] + [held.value.scores(features(values[a:b]).astype(np.float64)) for a, b in chunks(values)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], names=schema.names)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,13 +43,23 @@ def drop_written(df: DataFrame) -> None:
         return
 
 
-#: Rows that an Arrow batch may hold where rows are whole texts.
-TEXT_ROWS = 1000
+#: Bytes of texts in a batch that an operator works on at once.
+TEXT_BYTES = 4 << 20
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bounds the Arrow batches of whole texts: fewer rows, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of a column of strings, binaries or lists of integers, whatever batches the session makes; a
+    longer value stands alone."""
+    for batch in batches:
+        values = batch.column(column)
+        size = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = end[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(end, before + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def on_worker(cache: dict, key, make: Callable):
