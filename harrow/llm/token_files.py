@@ -9,17 +9,16 @@ lost tasks. Its cells are the file format:
 * ``low``, ``high``: the ends of the documents within ``ids`` (a non-decreasing sequence of n_docs numbers up to n_ids)
   in Elias-Fano form: ``low_bits`` = floor(log2(n_ids / n_docs)) low bits of each, packed little-endian; the rest in unary: bit
   (end >> low_bits) + i of ``high`` is set for the i-th. About 2 + log2(n_ids / n_docs) bits a document, and no table of 64-bit offsets.
-* ``doc_ids``: the ids of the documents, as 64-bit little-endian integers of their own column encoding.
+* ``n_null``, ``first_doc``, ``doc_low_bits``, ``doc_low``, ``doc_high``: how many documents without an id come first, and the other documents' ids,
+  less the first of them, in the same form.
 
-A select over ``high`` (per-byte population counts, then the bit within the byte) gives any document's offset.
+A select over ``high`` gives any document's offset: one 32-bit count of set bits is kept for each 512 bits, then bytes are counted, then bits.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,174 +26,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import on_worker, text_batches
-from .units import LONGEST, REMEMBERED, Units
+from .shared import by_bytes, on_worker
+from .units import Units, cuts_at_units, settings_of
 
-#: Ids in a segment, about.
-SEGMENT_IDS = 1 << 18
+#: Ids in a segment, about; bytes of texts that are encoded at once.
+SEGMENT_IDS, TEXT_BYTES = 1 << 18, 8 << 20
 #: Segments whose starts are broadcast (24 bytes each); beyond that they are joined by a shuffle.
 STARTS = 500_000
 _loaded: dict = {}
-_SCHEMA = "part int, segment int, first_doc long, n_docs long, n_ids long, width int, low_bits int, low binary, high binary, doc_ids array<long>, ids binary"
+_SCHEMA = "part int, segment int, n_docs long, n_ids long, width int, low_bits int, low binary, high binary, n_null long, first_doc long, doc_low_bits int, doc_low binary, doc_high binary, ids binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below or at ``most``."""
+    """A non-decreasing sequence of n unsigned 64-bit numbers, with select."""
+
+    #: Bytes of ``high`` between two counts, and numbers that are selected at once.
+    SAMPLED, AT_ONCE = 64, 4096
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
         self.n, self.low_bits = n, low_bits
-        self.low, self.high = np.frombuffer(low, dtype=np.uint8), np.frombuffer(high, dtype=np.uint8)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)))
+        self.low, self.high = np.frombuffer(low, dtype=np.uint8), np.frombuffer(high + bytes(-len(high) % self.SAMPLED), dtype=np.uint8)
+        per = np.bitwise_count(self.high).reshape(-1, self.SAMPLED).sum(axis=1, dtype=np.uint32)
+        self.before = np.cumsum(per, dtype=np.uint32) - per
 
     @staticmethod
     def encode(values: np.ndarray, most: int) -> tuple[int, bytes, bytes]:
-        """(low_bits, low, high) of ``values``."""
-        values = np.asarray(values, dtype=np.int64)
+        """(low_bits, low, high) of ``values``, none of which is more than ``most``."""
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         bits = max(0, (most // n).bit_length() - 1) if n and most else 0
-        lows = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel()
+        lows = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
         high = np.zeros((most >> bits) + n + 1, dtype=np.uint8)
-        high[(values >> bits) + np.arange(n)] = 1
+        high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
         return bits, np.packbits(lows, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes()
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers (from 0)."""
         i = np.asarray(i, dtype=np.int64)
-        byte = np.searchsorted(self.before, i, side="right") - 1
-        left = i - self.before[byte]
+        parts = [self._some(i[k : k + self.AT_ONCE]) for k in range(0, len(i), self.AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+    def _some(self, i: np.ndarray) -> np.ndarray:
+        block = np.searchsorted(self.before, i.astype(np.uint32), side="right") - 1
+        left = (i - self.before[block]).astype(np.int64)
+        ones = np.cumsum(np.bitwise_count(self.high.reshape(-1, self.SAMPLED)[block]), axis=1, dtype=np.int64)
+        byte = np.argmax(ones > left[:, None], axis=1)
+        left -= np.where(byte > 0, ones[np.arange(len(i)), np.maximum(byte - 1, 0)], 0)
+        byte += self.SAMPLED * block
         bits = (self.high[byte][:, None] >> np.arange(8, dtype=np.uint8)) & 1
         place = 8 * byte + np.argmax(np.cumsum(bits, axis=1) == (left + 1)[:, None], axis=1)
-        upper = place - i
+        upper = (place - i).astype(np.uint64)
         if not self.low_bits:
             return upper
         at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        low = ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << np.arange(self.low_bits)
-        return (upper << self.low_bits) | low.sum(axis=1)
-
-
-_LATIN, _LETTERS = re.compile(r"[\x00-\xff]*"), re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
-
-
-def _folded(unit: str) -> str:
-    """For a vocabulary that drops white space and lower-cases: composed Latin letters are folded here, once for all spellings; strings of
-    special tokens and any other character are left to the library."""
-    unit = unit.strip(" \n")
-    return unit.lower() if (unit.isascii() or _LATIN.fullmatch(unit)) and "<|" not in unit else unit
-
-
-#: What a text must not hold to be lower-cased and cut into words here: control characters and those beyond Latin-1; and a mark at the end of a word after
-#: anything but a letter or digit. (Nor strings of special tokens.)
-_HARD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u0100-\U0010ffff]")
-_MARKED = re.compile(r"[.,;:!?](?<=[^0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff\s].)(?=[ \n]|\Z)")
-_TAILED = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]+)")
+        low = ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)
+        return (upper << np.uint64(self.low_bits)) | low.sum(axis=1, dtype=np.uint64)
 
 
-def is_hard(text: str) -> bool:
-    return "<|" in text or _HARD.search(text) is not None or _MARKED.search(text) is not None
-
-
-def words_of_text(text: str) -> list[str]:
-    """Words of a text that isn't hard, lower-cased, with a mark that ends a word as a word of its own: the pre-splitting cuts at all these places."""
-    t = text.lower()
-    for m in ".,;:!?":
-        if m in t:
-            t = t.replace(f"{m} ", f" {m} ").replace(f"{m}\n", f" {m}\n")
-    if t[-1:] in _ENDS:
-        t = f"{t[:-1]} {t[-1]}"
-    return t.split()
-
-
-_ENDS = frozenset(".,;:!?")
+#: Words of composed lower-case Latin letters: normalising leaves them as they are.
+_LOWER_WORD = re.compile(r" ?[a-z\xdf-\xf6\xf8-\xff]+")
 
 
 class Encoder:
-    """Bytes of little-endian ids of whole texts by a vocabulary of the tokenizers library."""
-
-    #: A mark between words where many are encoded at once, and how many.
-    MARK, MANY = "|", 64
+    """Ids of whole texts, each followed by the end id, by a vocabulary of the tokenizers library."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.width = 2 if max(end_id, self.tok.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        self.end = end_id
+        self.width = 2 if max(end_id, tok.get_vocab_size(with_added_tokens=True) - 1) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.end = np.array([end_id], dtype=self.kind).tobytes()
-        settings = json.loads(self.tok.to_str())
-        # white space is dropped and words end by themselves: words of plain lower-case letters, which normalising and pre-splitting leave as they
-        # are, can be encoded many at a time by the same model without those steps
-        free = '"Lowercase"' in json.dumps(settings["normalizer"]) and settings["model"].get("end_of_word_suffix") is not None
-        if free:
-            self.lean = Tokenizer(self.tok.model)
-            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            # letters and the mark are their own byte characters in ASCII
-            self.plain = Tokenizer(self.tok.model)
-            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            mark = self.lean.encode(self.MARK, add_special_tokens=False).ids
-            free, self.mark = len(mark) == 1, mark[0]
-        self.units = Units(self._many, _folded) if free else Units(self._each)
-        self.known: dict[str, bytes] | None = {} if free else None
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
-        return [array(code, x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        words = [i for i, t in enumerate(texts) if len(t) <= LONGEST and _LETTERS.fullmatch(t)]
-        rest = set(range(len(texts))).difference(words)
-        ascii_ones = [i for i in words if texts[i].isascii()]
-        between, w = f" {self.MARK} ", self.width
-        for lean, own in ((self.plain, ascii_ones), (self.lean, sorted(set(words).difference(ascii_ones)))):
-            groups = [own[k : k + self.MANY] for k in range(0, len(own), self.MANY)]
-            for group, e in zip(groups, lean.encode_batch_fast([between.join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype=self.kind)
-                cut = np.flatnonzero(ids == self.mark)
-                if len(cut) != len(group) - 1:  # no word holds the mark
-                    raise AssertionError("marks don't stand where they were put")
-                raw = ids.tobytes()
-                begins, ends = [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)]
-                for i, a, b in zip(group, begins, ends, strict=True):
-                    out[i] = raw[a:b]
-        left = sorted(rest)
-        for i, value in zip(left, self._each([texts[i] for i in left]), strict=True):
-            out[i] = value
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        easy = [i for i, t in enumerate(texts) if not is_hard(t)] if self.known is not None else []
-        cut = [words_of_text(texts[i]) for i in easy]
-        every = set().union(*cut)
-        fresh = every.difference(self.known or ())
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = every
-            # letters with other characters after them: the pre-splitting cuts between the two
-            split = {w: m.groups() for w in fresh if not _LETTERS.fullmatch(w) and (m := _TAILED.fullmatch(w))}
-            new = list(fresh.difference(split).union(x for pair in split.values() for x in pair if x not in self.known))
-            self.known.update(zip(new, self._many(new), strict=True))
-            self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in split.items())
-        near = {u: self.known[u] for u in every}
-        for i, c in zip(easy, cut, strict=True):
-            out[i] = b"".join(map(near.__getitem__, c)) + self.end
-        hard = sorted(set(range(len(texts))).difference(easy))
-        for i, x in zip(hard, self.units.of([texts[k] for k in hard]), strict=True):
-            out[i] = b"".join(x) + self.end
-        return out
+        self.encode = ids_of(tok)
+        settings = settings_of(tok)
+        self.units, self.fold = None, False
+        if not cuts_at_units(settings):
+            return
+        self.fold = settings["normalizer"] is not None  # the one known normaliser lower-cases and the pre-splitting drops white space
+        between = " | " if self.fold else "\n"
+        if len(self.encode([between])[0]) != 1:
+            return
+        if self.fold:
+            # the same model without the steps that leave such words as they are
+            lean = Tokenizer(tok.model)
+            lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.units = Units(self.encode, between, self.kind, ids_of(lean), _LOWER_WORD)
+        else:
+            self.units = Units(self.encode, between, self.kind)
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another with their end ids; how many each text has) of a column without nulls."""
+        if self.units is not None:
+            flat, size = self.units.ids(column, self.fold)
+        else:
+            each = self.encode(column.to_pylist())
+            size = np.array([len(x) for x in each], dtype=np.int64)
+            flat = np.array([i for x in each for i in x], dtype=self.kind)
+        return np.insert(flat, np.cumsum(size), self.end), size + 1
+
+
+def ids_of(tokenizer):
+    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class _Segment:
+    """Documents that are put together until there are enough."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.names: list[pa.Array] = []
+        self.n_ids = 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray, names: pa.Array) -> None:
+        self.ids.append(ids)
+        self.sizes.append(size)
+        self.names.append(names)
+        self.n_ids += len(ids)
+
+    def row(self, part: int, segment: int, width: int) -> pa.RecordBatch:
+        ids, ends, names = np.concatenate(self.ids), np.cumsum(np.concatenate(self.sizes)), pa.concat_arrays(self.names)
+        known = names.drop_null().to_numpy().astype(np.int64)
+        first = int(known[0]) if len(known) else 0
+        cells = [part, segment, len(ends), len(ids), width, *EliasFano.encode(ends, len(ids)), names.null_count, first, *EliasFano.encode(known.view(np.uint64) - np.uint64(first % 2**64), (int(known[-1]) - first) if len(known) else 0), ids.tobytes()]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        fields = [x.split() for x in _SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(cells, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Encodes every whole text, appends ``end_id`` to each document, and writes segments under ``path``.
 
     Null texts count as empty: one id, the end. Documents stand in ascending order of an integer id, null ids first and kept
-    as null; rows of the same id stand together, in order of their text. An empty table gives no segment. Other columns are ignored.
+    as null; rows of the same id stand together, in order of a hash of their text. An empty table gives no segment. Other columns are ignored.
+    Ids that are no integers are an error.
     """
-    text_batches(documents.sparkSession)
+    if documents.schema[id_column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_column} is no integer")
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -204,34 +175,26 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
 
         part = TaskContext.get().partitionId()
         enc = on_worker(_loaded, (vocabulary, end_id), lambda: Encoder(vocabulary, end_id))
-        held: list[bytes] = []
-        names: list[int | None] = []
-        size, segment = 0, 0
-
-        def done() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // enc.width for x in held])
-            bits, low, high = EliasFano.encode(ends, int(ends[-1]))
-            row = [part, segment, names[0], len(held), int(ends[-1]), enc.width, bits, low, high, names, b"".join(held)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                held.append(ids)
-                names.append(name)
-                size += len(ids) // enc.width
-                if size >= segment_ids:
-                    yield done()
-                    held, names, size, segment = [], [], 0, segment + 1
-        if held:
-            yield done()
+        held, segment = _Segment(), 0
+        for batch in by_bytes(batches, 1, TEXT_BYTES):
+            ids, size = enc.ids(batch.column(1))
+            ends, at, used = np.cumsum(size), 0, 0
+            while at < len(ends):
+                # up to the document with which the segment has enough
+                stop = min(len(ends), int(np.searchsorted(ends, used + segment_ids - held.n_ids, side="left")) + 1)
+                held.add(ids[used : ends[stop - 1]], size[at:stop], batch.column(0).slice(at, stop - at))
+                at, used = stop, int(ends[stop - 1])
+                if held.n_ids >= segment_ids:
+                    yield held.row(part, segment, enc.width)
+                    held, segment = _Segment(), segment + 1
+        if held.n_ids:
+            yield held.row(part, segment, enc.width)
 
     rows.mapInArrow(run, _SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it in the files' order), n_tokens (with the end id), ids (binary, little-endian unsigned 32-bit) of each document."""
-    text_batches(spark, 64)  # rows are whole segments
     files = spark.read.schema(_SCHEMA).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a partition: small
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("parts_before"))
@@ -245,14 +208,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            part, segment, _, n, _, width, bits, low, high, names, ids = (batch.column(k)[row].as_py() for k in range(batch.num_columns))
-            ends = EliasFano(n, bits, low, high).select(np.arange(n))
+        for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+            n, n_null = row["n_docs"], row["n_null"]
+            ends = EliasFano(n, row["low_bits"], row["low"], row["high"]).select(np.arange(n)).astype(np.int64)
             begins = np.concatenate(([0], ends[:-1]))
-            wide = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
-            for k in range(0, n, 500):
-                a, b = begins[k : k + 500], ends[k : k + 500]
-                cells = [wide[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(a), pa.int32()), pa.array([segment] * len(a), pa.int32()), pa.array(names[k : k + 500], pa.int64()), pa.array(a, pa.int64()), pa.array(b - a, pa.int64()), pa.array(cells, pa.binary())], names=["part", "segment", "doc_id", "offset", "n_tokens", "ids"])
-
-
+            known = EliasFano(n - n_null, row["doc_low_bits"], row["doc_low"], row["doc_high"]).select(np.arange(n - n_null)) + np.uint64(row["first_doc"] % 2**64)
+            names = pa.concat_arrays([pa.nulls(n_null, pa.int64()), pa.array(known.view(np.int64))])
+            wide = np.frombuffer(row["ids"], dtype=f"<u{row['width']}").astype("<u4")
+            cells = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.append(begins, ends[-1:]) * 4).astype(np.int32)), pa.py_buffer(wide)])
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), names, pa.array(begins), pa.array(ends - begins), cells], names=["part", "segment", "doc_id", "offset", "n_tokens", "ids"])
