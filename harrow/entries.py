@@ -33,6 +33,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").withColumn("doc", analyze(F.col("text")))
 
 
+_indexes: dict[tuple[str, str], StoredIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of ``documents``, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = scratch(spark, "index")
+        build_index(documents(spark, sf_dir), path, facets=("lang", "n_chars", "source"))
+        _indexes[key] = StoredIndex(spark, path)
+    return _indexes[key]
+
+
 # --- matching -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -69,7 +82,7 @@ MATCHES = {
 
 
 def _match(q: str) -> Query:
-    return lambda spark, d: documents(spark, d).where(matches(F.col("doc"), parse(q))).select("doc_id")
+    return lambda spark, d: index(spark, d).matching(q)
 
 
 for _name, (_q, _cond) in MATCHES.items():
@@ -84,17 +97,17 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("match_zone", _zones, f"WITH {_D} SELECT doc_id, CAST(len(w) + 1 AS BIGINT) AS length, CAST(1 AS BIGINT) AS first FROM d WHERE source = 'src3'")
-add("match_approximate_regex", lambda s, d: documents(s, d).where(matches(F.col("doc"), parse("/^(wth){~1}$/"))).select("doc_id"), f"WITH {_D} SELECT doc_id FROM d WHERE {_some("regexp_full_match(x, '[a-z0-9]+') AND levenshtein(x, 'wth') <= 1")}")
+add("match_approximate_regex", _match("/^(wth){~1}$/"), f"WITH {_D} SELECT doc_id FROM d WHERE {_some("regexp_full_match(x, '[a-z0-9]+') AND levenshtein(x, 'wth') <= 1")}")
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.col("doc")
-    each = [F.count_if(F.coalesce(matches(doc, parse(q)), F.lit(False))).alias(n) for n, (q, _) in MATCHES.items()]
-    one = documents(spark, d).agg(*each)
-    return one.unpivot([], one.columns, "query", "n")
+def _scan(q: str) -> Query:
+    """Without an index: one pass over the table."""
+    return lambda spark, d: documents(spark, d).where(matches(F.col("doc"), parse(q))).select("doc_id")
 
 
-add("count_queries", _counts, f"WITH {_D} " + " UNION ALL ".join(f"SELECT '{n}' AS query, count(*) FILTER ({c}) AS n FROM d" for n, (_, c) in MATCHES.items()))
+for _name in ("or_not", "fuzzy", "phrase3", "near", "near3", "exact_gap"):
+    add(f"scan_{_name}", _scan(MATCHES[_name][0]), SQL[f"match_{_name}"])
+add("count_queries", lambda s, d: index(s, d).count_many({n: q for n, (q, _) in MATCHES.items()}), f"WITH {_D} " + " UNION ALL ".join(f"SELECT '{n}' AS query, count(*) FILTER ({c}) AS n FROM d" for n, (_, c) in MATCHES.items()))
 add("tsquery_match", lambda s, d: documents(s, d).where(matches(F.col("doc"), from_tsquery("'of' <-> 'the' & !'der'"))).select("doc_id"), f"WITH {_D} SELECT doc_id FROM d WHERE {_pairs('of', 'the', 1, 1)} AND NOT {_has('der')}")
 
 # --- analysis -----------------------------------------------------------------------------------------------------------------------
@@ -144,14 +157,14 @@ def _any(terms: list[str]) -> str:
     return " OR ".join(_has(t) for t in terms)
 
 
-add("bm25_top", lambda s, d: rank.search(documents(s, d), "the | with | of", 20), _top(["the", "with", "of"], _any(["the", "with", "of"]), 20))
-add("bm25_and", lambda s, d: rank.search(documents(s, d), "with & for", 20), _top(["with", "for"], f"{_has('with')} AND {_has('for')}", 20))
-add("bm25_negated_term_counts", lambda s, d: rank.search(documents(s, d), "with & !der", 20), _top(["with", "der"], f"{_has('with')} AND NOT {_has('der')}", 20))
-add("bm25_prefix_at_zero", lambda s, d: rank.search(documents(s, d), "thre*", 30), _top(["thre"], _some("starts_with(x, 'thre')"), 30))
-add("bm25_phrase", lambda s, d: rank.search(documents(s, d), '"of the"', 20), _top(["of", "the"], _pairs("of", "the", 1, 1), 20))
-add("bm25_facet", lambda s, d: rank.search(documents(s, d), "de", 20, gate=(F.col("lang") == "fr") & (F.col("n_chars") >= 500) & F.col("source").between("src1", "src4")), _top(["de"], _has("de"), 20, " AND lang = 'fr' AND n_chars >= 500 AND source BETWEEN 'src1' AND 'src4'"))
-add("bm25_repeated_term", lambda s, d: rank.search(documents(s, d), "with | with | de", 20), f"WITH {_D}, {_stats_sql(['with', 'de'])} SELECT doc_id, round({_bm25_sql(['with', 'with', 'de'])}, 6) AS score FROM d, st WHERE {_any(['with', 'de'])} ORDER BY score DESC, doc_id LIMIT 20")
-add("bm25_ordering_scan", lambda s, d: rank.ordered(documents(s, d), "que", 300), f"WITH {_D}, {_stats_sql(['que'])} SELECT doc_id, round(1 / (1 + {_bm25_sql(['que'])}), 6) AS distance FROM d, st ORDER BY distance, doc_id LIMIT 300")
+add("bm25_top", lambda s, d: index(s, d).search("the | with | of", 20), _top(["the", "with", "of"], _any(["the", "with", "of"]), 20))
+add("bm25_and", lambda s, d: index(s, d).search("with & for", 20), _top(["with", "for"], f"{_has('with')} AND {_has('for')}", 20))
+add("bm25_negated_term_counts", lambda s, d: index(s, d).search("with & !der", 20), _top(["with", "der"], f"{_has('with')} AND NOT {_has('der')}", 20))
+add("bm25_prefix_at_zero", lambda s, d: index(s, d).search("thre*", 30), _top(["thre"], _some("starts_with(x, 'thre')"), 30))
+add("bm25_phrase", lambda s, d: index(s, d).search('"of the"', 20), _top(["of", "the"], _pairs("of", "the", 1, 1), 20))
+add("bm25_facet", lambda s, d: index(s, d).search("de", 20, gate=(F.col("lang") == "fr") & (F.col("n_chars") >= 500) & F.col("source").between("src1", "src4")), _top(["de"], _has("de"), 20, " AND lang = 'fr' AND n_chars >= 500 AND source BETWEEN 'src1' AND 'src4'"))
+add("bm25_repeated_term", lambda s, d: index(s, d).search("with | with | de", 20), f"WITH {_D}, {_stats_sql(['with', 'de'])} SELECT doc_id, round({_bm25_sql(['with', 'with', 'de'])}, 6) AS score FROM d, st WHERE {_any(['with', 'de'])} ORDER BY score DESC, doc_id LIMIT 20")
+add("bm25_ordering_scan", lambda s, d: index(s, d).ordered("que", 300), f"WITH {_D}, {_stats_sql(['que'])} SELECT doc_id, round(1 / (1 + {_bm25_sql(['que'])}), 6) AS distance FROM d, st ORDER BY distance, doc_id LIMIT 300")
 
 
 def _variants(spark: SparkSession, d: str) -> DataFrame:
@@ -191,38 +204,24 @@ s AS (SELECT p_partkey, round({' + '.join(f"ln(1 + (n - df{i} + 0.5) / (df{i} +
 SELECT * FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 25""")
 
 
-def _query_set(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    qs = {1: "with", 2: "der & die", 3: "que | les", 4: '"of the"'}
-    st = rank.corpus_stats(docs, ["with", "der", "die", "que", "les", "of", "the"])  # one pass for all
-    every = None
-    for n, q in qs.items():
-        one = rank.search(docs, q, 5, stats=st).withColumn("qid", F.lit(n))
-        every = one if every is None else every.unionByName(one)
-    return every
-
-
-add("query_set", _query_set, f"WITH {_D}, {_stats_sql(['with', 'der', 'die', 'que', 'les', 'of', 'the'])} " + " UNION ALL ".join(f"(SELECT doc_id, round({_bm25_sql(t)}, 6) AS score, {n} AS qid FROM d, st WHERE {c} ORDER BY score DESC, doc_id LIMIT 5)" for n, t, c in ((1, ["with"], _has("with")), (2, ["der", "die"], f"{_has('der')} AND {_has('die')}"), (3, ["que", "les"], _any(["que", "les"])), (4, ["of", "the"], _pairs("of", "the", 1, 1)))))
-
-
+add("query_set", lambda s, d: index(s, d).search_many({1: "with", 2: "der & die", 3: "que | les", 4: '"of the"'}, 5), f"WITH {_D}, {_stats_sql(['with', 'der', 'die', 'que', 'les', 'of', 'the'])} " + " UNION ALL ".join(f"(SELECT doc_id, round({_bm25_sql(t)}, 6) AS score, {n} AS qid FROM d, st WHERE {c} ORDER BY score DESC, doc_id LIMIT 5)" for n, t, c in ((1, ["with"], _has("with")), (2, ["der", "die"], f"{_has('der')} AND {_has('die')}"), (3, ["que", "les"], _any(["que", "les"])), (4, ["of", "the"], _pairs("of", "the", 1, 1)))))
 
-def _index(spark: SparkSession, d: str) -> StoredIndex:
-    path = scratch(spark, "index")
-    build_index(documents(spark, d), path)
-    return StoredIndex(spark, path)
 
 
-add("index_search_or", lambda s, d: _index(s, d).search("the | with | of", 20), SQL["bm25_top"])
-add("index_search_not", lambda s, d: _index(s, d).search("with & !der", 20), SQL["bm25_negated_term_counts"])
+# The same without an index: one pass for the statistics, one that matches, scores and keeps k rows a task.
+add("scan_top", lambda s, d: rank.search(documents(s, d), "the | with | of", 20), SQL["bm25_top"])
+add("scan_ordering", lambda s, d: rank.ordered(documents(s, d), "que", 300), SQL["bm25_ordering_scan"])
+add("index_search_or", lambda s, d: index(s, d).search("the | with | of", 20), SQL["bm25_top"])
+add("index_search_not", lambda s, d: index(s, d).search("with & !der", 20), SQL["bm25_negated_term_counts"])
 
 
 def _index_counts(spark: SparkSession, d: str) -> DataFrame:
-    i = _index(spark, d)
+    i = index(spark, d)
     return spark.createDataFrame([(q, i.count(q)) for q in ("with", "absentword", "der | que", "les & !de")], "query string, n long")
 
 
 add("index_count", _index_counts, f"WITH {_D} " + " UNION ALL ".join(f"SELECT '{q}' AS query, count(*) FILTER ({c}) AS n FROM d" for q, c in (("with", _has("with")), ("absentword", _has("absentword")), ("der | que", _any(["der", "que"])), ("les & !de", f"{_has('les')} AND NOT {_has('de')}"))))
-add("index_vocabulary", lambda s, d: _index(s, d).vocabulary, f"WITH {_D}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL) SELECT term, count(*) AS df, max(tf) AS max_tf FROM p GROUP BY term")
+add("index_vocabulary", lambda s, d: index(s, d).vocabulary.withColumn("max_tf", F.col("max_tf").cast("long")), f"WITH {_D}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM p GROUP BY term")
 add("document_round_trip", lambda s, d: read_table(s, d, "part").select("p_partkey", text_form(set_zone(analyze(F.col("p_name")), "C")).alias("form")).select("p_partkey", (text_form(from_text_form(F.col("form"))) == F.col("form")).alias("same")), "SELECT p_partkey, true AS same FROM part")
 
 # Over whole documents, without SQL: a text without tokens has a row too.
@@ -231,17 +230,17 @@ add("document_round_trip_all", lambda s, d: documents(s, d).select("doc_id", tex
 
 # --- vocabulary ---------------------------------------------------------------------------------------------------------------------
 
-add("term_stats", lambda s, d: vocabulary.term_stats(documents(s, d)), f"WITH {_D} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")
-add("index_stats", lambda s, d: vocabulary.index_stats(documents(s, d)), f"WITH {_D} SELECT count(*) AS n_docs, round(avg(len(w)), 6) AS avgdl, (SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)) AS n_terms FROM d")
+add("term_stats", lambda s, d: index(s, d).vocabulary.select("term", "df"), f"WITH {_D} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")
+add("index_stats", lambda s, d: index(s, d).corpus.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms"), f"WITH {_D} SELECT count(*) AS n_docs, round(avg(len(w)), 6) AS avgdl, (SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)) AS n_terms FROM d")
 add("max_tf", lambda s, d: documents(s, d).agg(*[F.max(term_frequency(F.col("doc"), t)).cast("long").alias(t) for t in ("with", "der", "absentword")]), f"WITH {_D} SELECT " + ", ".join(f"CAST(max({_tf(t)}) AS BIGINT) AS {t}" for t in ("with", "der", "absentword")) + " FROM d")
 _ASCII = "regexp_full_match(t, '[a-z0-9]+')"
 add("fuzzy_vocabulary", lambda s, d: vocabulary.fuzzy_terms(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")), f"WITH {_D}, v AS (SELECT t AS term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS t FROM d) WHERE {_ASCII} GROUP BY t) SELECT term, df, CAST(levenshtein(term, 'with') AS BIGINT) AS distance FROM v WHERE levenshtein(term, 'with') <= 2")
 add("edit_distance_order", lambda s, d: vocabulary.nearest_by_edits(documents(s, d).withColumn("doc", F.col("doc").withField("tokens", F.filter("doc.tokens", lambda t: t.rlike("^[a-z0-9]+$")))), "thereon", 40), f"WITH {_D}, v AS (SELECT doc_id, list_filter(w, lambda t: {_ASCII}) AS w FROM d) SELECT doc_id, coalesce(list_min(list_transform(w, lambda t: levenshtein(t, 'thereon')))::DOUBLE, 'inf'::DOUBLE) AS distance FROM v ORDER BY distance, doc_id LIMIT 40")
 # Over all tokens, without SQL: DuckDB's levenshtein counts bytes.
-add("fuzzy_vocabulary_all", lambda s, d: vocabulary.fuzzy_terms(documents(s, d), "with", 2).select("term", "df", F.col("distance").cast("long").alias("distance")))
-add("edit_distance_order_all", lambda s, d: vocabulary.nearest_by_edits(documents(s, d), "thereon", 40))
-add("anomalous_docs", lambda s, d: vocabulary.anomalous_docs(documents(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
-add("index_invariants", lambda s, d: measures.check_stored(documents(s, d), _index(s, d).postings), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
+add("fuzzy_vocabulary_all", lambda s, d: vocabulary.index_fuzzy_terms(index(s, d), "with", 2).withColumn("distance", F.col("distance").cast("long")))
+add("edit_distance_order_all", lambda s, d: vocabulary.index_nearest_by_edits(index(s, d), "thereon", 40))
+add("anomalous_docs", lambda s, d: vocabulary.index_anomalous_docs(index(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
+add("index_invariants", lambda s, d: measures.check_stored(documents(s, d), index(s, d).postings), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
 
 # --- substrings and similarity ------------------------------------------------------------------------------------------------------
 
@@ -337,14 +336,14 @@ def _fuse_value_all(spark: SparkSession, d: str) -> DataFrame:
 
 add("fuse_value_all", _fuse_value_all)
 add("fuse_value", lambda s, d: _fuse_value_all(s, d).limit(520), f"WITH {_J}, {_PROBE} SELECT doc_id, round(-(0.5 * (ln(4.0 / 3) * {_tf('with')} * 2.2 / ({_tf('with')} + 1.2)) + 3 * list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)))), 6) AS f FROM d, q ORDER BY f NULLS LAST, doc_id LIMIT 520")
-add("reciprocal_rank_fusion", lambda s, d: fusion.reciprocal_rank_fusion([rank.search(documents(s, d), "with", 50), vector.nearest(read_table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _probe(s, d), 50, id_column="doc_id")], "doc_id", [("score", True), ("distance", False)], 30), f"""
+add("reciprocal_rank_fusion", lambda s, d: fusion.reciprocal_rank_fusion([index(s, d).search("with", 50), vector.nearest(read_table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _probe(s, d), 50, id_column="doc_id")], "doc_id", [("score", True), ("distance", False)], 30), f"""
 WITH {_D}, {_stats_sql(['with'])}, {_V}, {_PROBE}, a AS (SELECT doc_id, round({_bm25_sql(['with'])}, 6) AS s FROM d, st WHERE {_has('with')} ORDER BY s DESC, doc_id LIMIT 50), b AS (SELECT vec_id AS doc_id, round({_DIST['l2']}, 6) AS s FROM e, q ORDER BY s, vec_id LIMIT 50),
 r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, doc_id)) AS x FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s, doc_id)) FROM b) SELECT doc_id, round(sum(x), 6) AS score FROM r GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30""")
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     judged = read_table(spark, d, "labels").select(F.lit(1).alias("qid"), "doc_id", F.col("quality").alias("rel"))
-    run = rank.search(documents(spark, d), "with", 100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).withColumn("qid", F.lit(1))
+    run = index(spark, d).search("with", 100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))).withColumn("qid", F.lit(1))
     return measures.ranking_measures(run, judged, 100)
 
 

@@ -84,6 +84,17 @@ def matcher(pattern: str):
     return lru_cache(maxsize=100_000)(lambda text: any(reach(text, at, 0) for at in range(len(text) + 1)))
 
 
+def approximate_match(term: Column, pattern: str) -> Column:
+    """Whether a term holds a match: for the distinct terms of a vocabulary."""
+    matcher(pattern)
+
+    @F.pandas_udf("boolean")
+    def some(terms: pd.Series) -> pd.Series:
+        return terms.map(matcher(pattern))
+
+    return some(term)
+
+
 def approximate_regex(tokens: Column, pattern: str) -> Column:
     """Whether some token holds a match."""
     matcher(pattern)  # refuses a bad pattern on the driver

@@ -1,81 +1,199 @@
-"""A stored inverted index: postings in Parquet in order of term, so that a query reads the row groups of its own terms only.
+"""A stored inverted index: the text is analysed once, and queries read the postings of their own terms.
 
-Postings are range-partitioned by (term, id): a very frequent term spreads over many files, and a rare one is found by the files' statistics.
+Folders: ``documents`` (id, length, facets: every row), ``postings`` (term, id, tf, length, positions, zones), ``vocabulary`` (term, df, cf, max_tf) and ``corpus`` (one row). Postings
+are range-partitioned by (term, id) and sorted: a very frequent term spreads over many files, and a rare one is found by the files' statistics. Prefix, fuzzy and
+regular-expression terms are tested once for each distinct term of the vocabulary; the terms found are joined to the postings. A query exchanges the postings
+of its terms on the id, and reads ``documents`` only where it matches documents without its terms, or asks for facets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.query import And, Node, Not, Or, Term, literals, parse
-from .rank import idf
+from ..plans.query import And, Node, Not, Or, Phrase, Term, leaves, literals, parse
+from .approximate import approximate_match, is_approximate
+from .match import Found, evaluate, token_matches
+from .rank import CorpusStats, bm25_sum, distance
 
+#: Terms of the vocabulary that a pattern may name for them to be broadcast (about 40 bytes each); beyond that they are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+#: Queries that are answered in one pass.
+BLOCK = 32
 
-def build_index(docs: DataFrame, path: str, doc: str = "doc", id_column: str = "doc_id") -> None:
-    """Writes postings (term, doc_id, tf, length), vocabulary (term, df, max_tf) and corpus (n_docs, avgdl) under ``path``.
 
-    Null documents count nowhere; a document without tokens counts as a document.
+def build_index(docs: DataFrame, path: str, doc: str = "doc", id_column: str = "doc_id", facets: tuple[str, ...] = ()) -> None:
+    """Writes the index of ``docs`` under ``path``. Ids name documents and must differ.
+
+    A null document is a row of ``documents`` without a length and counts nowhere else; a document without tokens counts as a document; one
+    without positions has none in its postings.
     """
-    known = docs.where(F.col(doc).isNotNull())
-    pairs = known.select(F.col(id_column).alias("doc_id"), F.col(f"{doc}.length").alias("length"), F.explode(f"{doc}.tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    pairs.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    postings = docs.sparkSession.read.parquet(f"{path}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
-    known.agg(F.count("*").alias("n_docs"), F.avg(f"{doc}.length").alias("avgdl")).write.parquet(f"{path}/corpus")
+    d = F.col(doc)
+    docs.select(F.col(id_column).alias("doc_id"), d["length"].cast("int").alias("length"), *facets).write.parquet(f"{path}/documents")
+    every = docs.where(d.isNotNull()).select(F.col(id_column).alias("doc_id"), d["length"].cast("int").alias("length"), d["has_pos"].alias("has_pos"), F.posexplode(F.arrays_zip(d["tokens"].alias("t"), d["pos"].alias("p"), d["zone"].alias("z"))).alias("i", "x"))
+    place = F.when(F.col("has_pos"), F.struct(F.col("x.p").alias("p"), F.col("x.z").cast("byte").alias("z")))
+    # a document's tokens are rows of one task, so the partial aggregate is complete before the exchange
+    found = every.groupBy("doc_id", F.col("x.t").alias("term")).agg(F.count("*").cast("int").alias("tf"), F.any_value("length").alias("length"), F.array_sort(F.collect_list(place)).alias("s"), F.any_value("has_pos").alias("has_pos"))
+    rows = found.select("term", "doc_id", "tf", "length", F.when(F.col("has_pos"), F.col("s.p")).alias("positions"), F.when(F.col("has_pos"), F.col("s.z")).alias("zones"))
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
+    lengths = spark.read.parquet(f"{path}/documents").agg(F.count("length").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
+    terms = spark.read.parquet(f"{path}/vocabulary").agg(F.count("*").alias("n_terms"))
+    lengths.crossJoin(terms).write.parquet(f"{path}/corpus")  # one row each
+
+
+def needs_universe(node: Node) -> bool:
+    """Whether a document without any of the terms matches."""
+    if isinstance(node, Not):
+        return not needs_universe(node.operand)
+    if isinstance(node, And):
+        return needs_universe(node.left) and needs_universe(node.right)
+    return isinstance(node, Or) and (needs_universe(node.left) or needs_universe(node.right))
+
+
+def _in_phrases(node: Node, inside: bool = False) -> list[Term]:
+    """Terms whose positions are asked for."""
+    if isinstance(node, Term):
+        return [node] if (inside or node.zones) and node.kind == "plain" else []
+    if isinstance(node, Not):
+        return _in_phrases(node.operand)
+    inside = inside or isinstance(node, Phrase)
+    return _in_phrases(node.left, inside) + _in_phrases(node.right, inside)
 
 
 class StoredIndex:
     def __init__(self, spark: SparkSession, path: str):
-        self.postings, self.vocabulary, self.corpus = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "vocabulary", "corpus"))
-
-    def df(self, terms: list[str]) -> dict[str, int]:
-        return {r.term: r.df for r in self.vocabulary.where(F.col("term").isin(terms)).collect()}
-
-    def _flags(self, node: Node, at: dict[str, int]) -> Column:
-        if isinstance(node, Term):
-            if node.kind != "plain" or node.zones:
-                raise ValueError("the stored index answers plain terms; use a scan for others")
-            return F.col(f"has{at[node.text]}")
-        if isinstance(node, Not):
-            return ~self._flags(node.operand, at)
-        if isinstance(node, (And, Or)):
-            a, b = self._flags(node.left, at), self._flags(node.right, at)
-            return a & b if isinstance(node, And) else a | b
-        raise ValueError("the stored index holds no positions; use a scan for phrases")
-
-    def _needs_universe(self, node: Node) -> bool:
-        """Whether a document without any of the terms matches."""
-        if isinstance(node, Not):
-            return not self._needs_universe(node.operand)
-        if isinstance(node, And):
-            return self._needs_universe(node.left) and self._needs_universe(node.right)
-        return isinstance(node, Or) and (self._needs_universe(node.left) or self._needs_universe(node.right))
-
-    def matching(self, query: str, score: bool = True) -> DataFrame:
-        """doc_id, score of the documents that match: one exchange of the terms' postings on the document, partially aggregated."""
-        node = parse(query)
-        if node is None or self._needs_universe(node):
-            raise ValueError("the query is empty or matches documents without its terms; use a scan")
-        terms = literals(node)
-        at = {t: i for i, t in enumerate(dict.fromkeys(terms))}
-        stats, df = self.corpus.first(), self.df(list(at))
-        n, avgdl = stats["n_docs"], stats["avgdl"] or 1.0
-        weight = F.lit(0.0)
-        for t in at:
-            weight = F.when(F.col("term") == t, terms.count(t) * idf(n, df.get(t, 1))).otherwise(weight)
-        tf = F.col("tf").cast("double")
-        part = weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / avgdl))
-        rows = self.postings.where(F.col("term").isin(list(at)))
-        found = rows.groupBy("doc_id").agg(F.sum(part).alias("score"), *[F.bool_or(F.col("term") == t).alias(f"has{i}") for t, i in at.items()])
-        return found.where(self._flags(node, at)).select("doc_id", F.round("score", 6).alias("score"))
-
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        return self.matching(query).orderBy(F.desc("score"), "doc_id").limit(k)
-
-    def count(self, query: str) -> int:
+        self.spark, self.path = spark, path
+        self.documents, self.postings, self.vocabulary, self.corpus = (spark.read.parquet(f"{path}/{x}") for x in ("documents", "postings", "vocabulary", "corpus"))
+
+    def stats(self, terms: list[str]) -> CorpusStats:
+        """Of the corpus and of some terms: two small reads."""
+        size = self.corpus.first()
+        known = {r.term: r for r in self.vocabulary.where(F.col("term").isin(sorted(set(terms)))).collect()} if terms else {}
+        return CorpusStats(size.n_docs, size.avgdl, {t: known[t].df if t in known else 0 for t in terms}, {t: known[t].max_tf if t in known else 0 for t in terms})
+
+    def terms_of(self, t: Term) -> DataFrame:
+        """The terms of the vocabulary that a pattern names."""
+        term = F.col("term")
+        if t.kind == "regex" and is_approximate(t.text):
+            return self.vocabulary.where(approximate_match(term, t.text)).select("term")
+        return self.vocabulary.where(token_matches(term, t)).select("term")
+
+    def _rows(self, parts: list[Term]) -> DataFrame:
+        """Postings with ``part``: which of ``parts`` a posting is of, once for each."""
+        plain = {i: t for i, t in enumerate(parts) if t.kind == "plain"}
+        out = None
+        if plain:
+            own = F.filter(F.array(*[F.when(F.col("term") == t.text, F.lit(i)) for i, t in plain.items()]), lambda x: x.isNotNull())
+            out = self.postings.where(F.col("term").isin(sorted({t.text for t in plain.values()}))).withColumn("part", F.explode(own))
+        patterns = [self.terms_of(t).withColumn("part", F.lit(i)) for i, t in enumerate(parts) if t.kind != "plain"]
+        if patterns:
+            wanted = patterns[0]
+            for p in patterns[1:]:
+                wanted = wanted.unionByName(p)
+            small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+            found = self.postings.join(F.broadcast(wanted) if small else wanted, "term")
+            out = found.select(*out.columns).unionByName(out) if out is not None else found
+        return out
+
+    def _grouped(self, nodes: list[Node], ranked: list[str]) -> tuple[DataFrame, list[Column]]:
+        """(a row for each document that holds a term of the queries or of ``ranked``, or for every document where such may match: doc_id, length, tf0 .. of
+        ``ranked``; each query's condition to match)."""
+        parts = list(dict.fromkeys([*(t for n in nodes for t in leaves(n)), *(Term(t) for t in ranked)]))
+        at = {t: i for i, t in enumerate(parts)}
+        placed = {t for n in nodes for t in _in_phrases(n)}
+        rows = self._rows(parts)
+        cells = [F.any_value("length", True).alias("length")]
+        for t, i in at.items():
+            own = F.col("part") == i
+            cells.append(F.coalesce(F.bool_or(own), F.lit(False)).alias(f"has{i}"))
+            if t in placed:
+                cells.append(F.max(F.when(own, F.transform(F.filter(F.arrays_zip(F.col("positions").alias("p"), F.col("zones").alias("z")), lambda s: s["z"].bitwiseAND(F.lit(t.zones)) != 0), lambda s: s["p"]) if t.zones else F.col("positions"))).alias(f"pos{i}"))
+        cells += [F.max(F.when(F.col("part") == at[Term(t)], F.col("tf"))).alias(f"tf{k}") for k, t in enumerate(ranked)]
+        cells.append(F.bool_or(F.col("positions").isNotNull()).alias("has_pos"))
+        found = rows.groupBy("doc_id").agg(*cells)
+        flags = {f"has{i}": F.coalesce(F.col(f"has{i}"), F.lit(False)) for i in at.values()} | {f"tf{k}": F.coalesce(F.col(f"tf{k}"), F.lit(0)) for k in range(len(ranked))}
+        if any(map(needs_universe, nodes)):
+            found = self.documents.where("length is not null").select("doc_id", F.col("length").alias("_n")).join(found, "doc_id", "left")
+            flags |= {"length": F.col("_n"), "has_pos": F.coalesce(F.col("has_pos"), F.lit(False))}
+        found = found.withColumns(flags)
+
+        def leaf(t: Term) -> Found:
+            i = at[t]
+            pos = F.coalesce(F.col(f"pos{i}"), F.array().cast("array<int>")) if t in placed else None
+            if t.kind == "plain":
+                return Found(F.size(pos) > 0 if t.zones else F.col(f"has{i}"), pos)
+            return Found(F.col(f"has{i}"), None, t.kind == "prefix")
+
+        return found, [evaluate(n, leaf, F.col("has_pos")).present for n in nodes]
+
+    def matching(self, query: str | Node | None) -> DataFrame:
+        """doc_id of the documents that match; an empty query matches none."""
+        node = parse(query) if isinstance(query, str) else query
+        if node is None:
+            return self.documents.where("false").select("doc_id")
+        found, (hit,) = self._grouped([node], [])
+        return found.where(hit).select("doc_id")
+
+    def scored(self, query: str | Node | None, stats: CorpusStats | None = None, variant: str = "lucene", matched: bool = True) -> DataFrame:
+        """doc_id, score (not rounded) of the documents that match; with ``matched`` false, of those that hold a literal term."""
+        node = parse(query) if isinstance(query, str) else query
+        if node is None:
+            return self.documents.where("false").select("doc_id", F.lit(0.0).alias("score"))
+        terms = list(dict.fromkeys(literals(node)))
+        stats = stats or self.stats(terms)
+        if not matched and not terms:
+            return self.documents.where("false").select("doc_id", F.lit(0.0).alias("score"))
+        found, hits = self._grouped([node] if matched else [], terms)
+        score = bm25_sum({t: F.col(f"tf{k}") for k, t in enumerate(terms)}, F.col("length"), literals(node), stats.n_docs, stats.avgdl, stats.df, variant=variant)
+        return (found.where(hits[0]) if matched else found).select("doc_id", score.alias("score"))
+
+    def search(self, query: str | Node, k: int = 10, gate: Column | None = None, stats: CorpusStats | None = None, variant: str = "lucene") -> DataFrame:
+        """doc_id, score of the k best matches; those without a literal term follow at 0, ties by id. ``gate``: a condition on facets; statistics stay the
+        whole corpus's."""
+        found = self.scored(query, stats, variant)
+        if gate is not None:
+            found = found.join(self.documents.where(gate).select("doc_id"), "doc_id", "left_semi")
+        return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+    def ordered(self, query: str | Node, k: int) -> DataFrame:
+        """Every row by distance: those without a literal term at 1, null documents last."""
+        rows = self.documents.join(self.scored(query, matched=False), "doc_id", "left")
+        d = F.when(F.col("length").isNotNull(), F.round(distance(F.coalesce("score", F.lit(0.0))), 6))
+        return rows.select("doc_id", d.alias("distance")).orderBy(F.asc_nulls_last("distance"), "doc_id").limit(k)
+
+    def search_many(self, queries: dict[int, str], k: int = 10, block: int = BLOCK) -> DataFrame:
+        """qid, doc_id, score: the k best matches of each query; a block of queries reads and exchanges its postings once."""
+        every = None
+        for at in range(0, len(queries), block):
+            nodes = {q: n for q, text in list(queries.items())[at : at + block] if (n := parse(text)) is not None}
+            if not nodes:
+                continue
+            terms = list(dict.fromkeys(t for n in nodes.values() for t in literals(n)))
+            stats, frequency = self.stats(terms), {t: F.col(f"tf{i}") for i, t in enumerate(terms)}
+            found, hits = self._grouped(list(nodes.values()), terms)
+            cells = []
+            for (q, n), hit in zip(nodes.items(), hits, strict=True):
+                score = bm25_sum(frequency, F.col("length"), literals(n), stats.n_docs, stats.avgdl, stats.df)
+                cells.append(F.when(hit, F.struct(F.lit(q).alias("qid"), F.round(score, 6).alias("score"))))
+            rows = found.select("doc_id", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.qid", "doc_id", "x.score")
+            best = rows.withColumn("_k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("_k") <= k).drop("_k")
+            every = best if every is None else every.unionByName(best)
+        return every if every is not None else self.documents.where("false").select(F.lit(0).alias("qid"), "doc_id", F.lit(0.0).alias("score"))
+
+    def count_many(self, queries: dict[str, str]) -> DataFrame:
+        """query, n: how many documents match each of a few queries, in one pass over their postings."""
+        nodes = {q: parse(text) for q, text in queries.items()}
+        found, hits = self._grouped([n for n in nodes.values() if n is not None], [])
+        hit = dict(zip((q for q, n in nodes.items() if n is not None), hits, strict=True))
+        one = found.agg(*[F.count_if(hit.get(q, F.lit(False))).alias(q) for q in nodes])
+        return one.unpivot([], one.columns, "query", "n")
+
+    def count(self, query: str | Node) -> int:
         """From the vocabulary alone for one term."""
-        node = parse(query)
+        node = parse(query) if isinstance(query, str) else query
         if isinstance(node, Term) and node.kind == "plain" and not node.zones:
-            return self.df([node.text]).get(node.text, 0)
-        return self.matching(query).count()
+            return self.stats([node.text]).df[node.text]
+        return self.matching(node).count()

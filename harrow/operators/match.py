@@ -1,7 +1,12 @@
-"""Whether a document matches a query: one boolean column over the document struct, so a search is a single narrow pass."""
+"""Whether a document matches a query: one boolean column.
+
+The tree is evaluated over what is known of each of its terms: whether a document holds it, and where. That comes from a document struct
+(``matches``: one narrow pass over a table) or from the postings of a stored index (``index.StoredIndex``).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -11,55 +16,89 @@ from ..functions.analysis import positions
 from ..plans.query import And, Node, Not, Or, Phrase, Term
 from .approximate import approximate_regex, is_approximate
 
+#: Widest proximity that is answered by listing the places it allows; wider ones test pairs of places.
+LISTED = 16
+
 
 @dataclass
-class _Value:
+class Found:
+    """What is known of a part of a query: whether it is present, and its ascending positions (None: not followed)."""
+
     present: Column
     pos: Column | None = None
     lossy: bool = False  # a prefix: present, positions not followed
 
 
-def term_present(doc: Column, t: Term) -> Column:
+def token_matches(token: Column, t: Term) -> Column:
+    """Whether a token is one that the term names."""
     if t.kind == "prefix":
-        return F.exists(doc["tokens"], lambda x: x.startswith(t.text))
+        return token.startswith(t.text)
     if t.kind == "fuzzy":
-        return F.exists(doc["tokens"], lambda x: (F.abs(F.length(x) - len(t.text)) <= t.distance) & (F.levenshtein(x, F.lit(t.text), t.distance) >= 0))
+        return (F.abs(F.length(token) - len(t.text)) <= t.distance) & (F.levenshtein(token, F.lit(t.text), t.distance) >= 0)
     if t.kind == "regex":
-        if is_approximate(t.text):
-            return approximate_regex(doc["tokens"], t.text)
-        return F.exists(doc["tokens"], lambda x: x.rlike(t.text))
+        return token.rlike(t.text)
+    return token == t.text
+
+
+def term_present(doc: Column, t: Term) -> Column:
+    if t.kind == "regex" and is_approximate(t.text):
+        return approximate_regex(doc["tokens"], t.text)
+    if t.kind != "plain":
+        return F.exists(doc["tokens"], lambda x: token_matches(x, t))
     if t.zones:
         return doc["has_pos"] & (F.size(positions(doc, t.text, t.zones)) > 0)
     return F.array_contains(doc["tokens"], t.text)
 
 
-def _value(doc: Column, node: Node) -> _Value:
+def _bound(columns: list[Column], f: Callable[..., Column]) -> Column:
+    """f of the columns, each worked out once however often f names it."""
+    row = F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
+    return F.transform(row, lambda r: f(*[r[f"c{i}"] for i in range(len(columns))]))[0]
+
+
+def following(left: Column, right: Column, distance: int, exact: bool) -> Column:
+    """The positions of ``right`` that stand ``distance`` after one of ``left``, or at most so far and after it. Place 0 is unknown, and next to nothing."""
+
+    def hits(p: Column, q: Column) -> Column:
+        p, q = F.filter(p, lambda x: x > 0), F.filter(q, lambda x: x > 0)
+        if exact:
+            return F.array_intersect(F.transform(p, lambda x: x + distance), q)
+        if distance <= LISTED:
+            return F.array_sort(F.array_intersect(F.flatten(F.transform(p, lambda x: F.sequence(x + 1, x + distance))), q))
+        return _bound([p, q], lambda a, b: F.filter(b, lambda y: F.exists(a, lambda x: (x < y) & (y - x <= distance))))
+
+    return _bound([left, right], hits)
+
+
+def evaluate(node: Node, leaf: Callable[[Term], Found], has_pos: Column) -> Found:
+    """The tree over what ``leaf`` knows of its terms; ``has_pos``: whether the document has positions at all."""
     if isinstance(node, Term):
-        if node.kind == "plain":
-            return _Value(term_present(doc, node), positions(doc, node.text, node.zones or None))
-        return _Value(term_present(doc, node), None, node.kind == "prefix")
+        return leaf(node)
     if isinstance(node, Not):
-        return _Value(~_value(doc, node.operand).present)
-    left, right = _value(doc, node.left), _value(doc, node.right)
+        return Found(~evaluate(node.operand, leaf, has_pos).present)
+    left, right = evaluate(node.left, leaf, has_pos), evaluate(node.right, leaf, has_pos)
     if isinstance(node, And):
-        return _Value(left.present & right.present)
+        return Found(left.present & right.present)
     if isinstance(node, Or):
-        return _Value(left.present | right.present)
+        return Found(left.present | right.present)
     assert isinstance(node, Phrase)
     if left.pos is None or right.pos is None:
         if (left.pos is None and not left.lossy) or (right.pos is None and not right.lossy):
-            return _Value(F.lit(False))
+            return Found(F.lit(False))
         # a step over a prefix knows presence only, and no later step knows more; a document without positions has no phrase on the other side
-        known = doc["has_pos"] if left.pos is not None or right.pos is not None else F.lit(True)
-        return _Value(known & left.present & right.present)
-    n = node.distance
-    near = (lambda p, q: p + n == q) if node.exact else (lambda p, q: (p < q) & (q - p <= n))
-    # place 0 is unknown, and next to nothing
-    hit = F.filter(right.pos, lambda q: (q > 0) & F.exists(left.pos, lambda p: (p > 0) & near(p, q)))
-    return _Value(doc["has_pos"] & (F.size(hit) > 0), hit)
+        known = has_pos if left.pos is not None or right.pos is not None else F.lit(True)
+        return Found(known & left.present & right.present)
+    hit = following(left.pos, right.pos, node.distance, node.exact)
+    return Found(has_pos & (F.size(hit) > 0), hit)
 
 
 def matches(doc: Column, query: Node | None) -> Column:
     """True or false for a document; null for a null one. An empty query matches nothing."""
-    found = F.lit(False) if query is None else _value(doc, query).present
+
+    def leaf(t: Term) -> Found:
+        if t.kind == "plain":
+            return Found(term_present(doc, t), positions(doc, t.text, t.zones or None))
+        return Found(term_present(doc, t), None, t.kind == "prefix")
+
+    found = F.lit(False) if query is None else evaluate(query, leaf, doc["has_pos"]).present
     return F.when(doc.isNotNull(), found)

@@ -55,14 +55,21 @@ def idf(n: float, df: float, variant: str = "lucene") -> float:
 
 def bm25(doc: Column, query: Node | None, n_docs: float, avgdl: float, df: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75, variant: str = "lucene") -> Column:
     """The score of a document: a sum over every literal of the query, repeated and negated ones too; null for null."""
+    terms = literals(query)
+    total = bm25_sum({t: term_frequency(doc, t) for t in terms}, doc["length"], terms, n_docs, avgdl, df, k1, b, variant)
+    return F.when(doc.isNotNull(), total)
+
+
+def bm25_sum(frequency: dict[str, Column], length: Column, terms: list[str], n_docs: float, avgdl: float, df: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75, variant: str = "lucene") -> Column:
+    """The sum over ``terms`` by their frequencies in a document of that length."""
     if variant not in VARIANTS:
         raise ValueError(f"no such variant: {variant}")
     kind = VARIANTS[variant]
     avgdl = avgdl if avgdl > 0 else 1.0
     total: Column = F.lit(0.0)
-    for t in literals(query):
-        tf = term_frequency(doc, t).cast("double")
-        norm = 1 - b + b * doc["length"].cast("double") / avgdl
+    for t in terms:
+        tf = frequency[t].cast("double")
+        norm = 1 - b + b * length.cast("double") / avgdl
         w = idf(n_docs, (df or {}).get(t, 1), variant)
         if kind == "l":
             c = tf / norm + 0.5
@@ -70,7 +77,7 @@ def bm25(doc: Column, query: Node | None, n_docs: float, avgdl: float, df: dict[
         else:
             part = w * (tf * (k1 + 1) / (tf + k1 * norm) + (1.0 if kind == "plus" else 0.0))
         total = total + F.when(tf > 0, part).otherwise(0.0)
-    return F.when(doc.isNotNull(), total)
+    return total
 
 
 def bm25f(fields: list[Column], query: Node | None, weights: list[float], n_docs: float, avgdls: list[float], df: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> Column:

@@ -22,7 +22,7 @@ def term_pairs(docs: DataFrame, doc: str = "doc", id_column: str = "doc_id") ->
 
 
 def term_stats(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """(term, df, cf): in how many documents, and how often in all. Distinct terms within a document are taken before the exchange."""
+    """(term, df): in how many documents. Distinct terms within a document are taken before the exchange."""
     return docs.select(F.explode(F.array_distinct(f"{doc}.tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -39,7 +39,8 @@ def edit_distance(doc: Column, word: str) -> Column:
 
 
 def nearest_by_edits(docs: DataFrame, word: str, k: int = 10, doc: str = "doc", id_column: str = "doc_id") -> DataFrame:
-    return docs.select(id_column, edit_distance(F.col(doc), word).alias("distance")).where("distance is not null").orderBy("distance", id_column).limit(k)
+    """Documents without tokens stand at infinity, null documents last."""
+    return docs.select(id_column, edit_distance(F.col(doc), word).alias("distance")).orderBy(F.asc_nulls_last("distance"), id_column).limit(k)
 
 
 def fuzzy_terms(docs: DataFrame, word: str, k: int, doc: str = "doc") -> DataFrame:
@@ -57,8 +58,45 @@ def anomalous_docs(docs: DataFrame, k: int = 100, max_df: int | None = None, doc
     rare = term_stats(docs, doc).where(F.col("df") <= most)
     pairs = docs.select(id_column, F.explode(F.array_distinct(f"{doc}.tokens")).alias("term")).join(rare, "term")
     best = pairs.groupBy(id_column).agg(F.min(F.struct("df", "term")).alias("b"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("b.df") + 0.5) / (F.col("b.df") + 0.5))
-    return best.select(id_column, F.col("b.term").alias("term"), F.col("b.df").alias("df"), F.round(idf, 6).alias("idf")).orderBy(F.desc("idf"), id_column).limit(k)
+    return best.select(id_column, F.col("b.term").alias("term"), F.col("b.df").alias("df"), F.round(_idf(n, F.col("b.df")), 6).alias("idf")).orderBy(F.desc("idf"), id_column).limit(k)
+
+
+# --- over a stored index: each distinct term is looked at once -----------------------------------------------------------------------
+
+
+def index_fuzzy_terms(index, word: str, k: int) -> DataFrame:
+    """(term, df, distance) of the stored vocabulary within k edits."""
+    near = index.vocabulary.where(F.abs(F.length("term") - len(word)) <= k).withColumn("distance", F.levenshtein("term", F.lit(word), k))
+    return near.where("distance >= 0").select("term", "df", "distance")
+
+
+def index_nearest_by_edits(index, word: str, k: int = 10) -> DataFrame:
+    """The k documents whose nearest token is fewest edits from ``word``, as ``nearest_by_edits``; those without tokens, then null documents, come last.
+
+    A term that is in k documents bounds the distance: postings of terms farther away are not read.
+    """
+    terms = index.vocabulary.select("term", "df", F.levenshtein("term", F.lit(word)).alias("distance"))
+    edge = terms.where(F.col("df") >= k).agg(F.min("distance")).first()[0]
+    wanted = terms if edge is None else terms.where(F.col("distance") <= edge)
+    near = index.postings.select("term", "doc_id").join(wanted.select("term", "distance"), "term").groupBy("doc_id").agg(F.min("distance").cast("double").alias("distance"))
+    if edge is None:
+        none = F.when(F.col("length").isNotNull(), F.lit(float("inf")))
+        near = index.documents.join(near, "doc_id", "left").select("doc_id", F.coalesce("distance", none).alias("distance"))
+    return near.orderBy(F.asc_nulls_last("distance"), "doc_id").limit(k)
+
+
+def index_anomalous_docs(index, k: int = 100, max_df: int | None = None) -> DataFrame:
+    """As ``anomalous_docs``: postings of rare terms only."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    n = index.corpus.first()["n_docs"]
+    rare = index.vocabulary.where(F.col("df") <= (max_df if max_df is not None else max(n // 1000, 1))).select("term", "df")
+    best = index.postings.select("term", "doc_id").join(rare, "term").groupBy("doc_id").agg(F.min(F.struct("df", "term")).alias("b"))
+    return best.select("doc_id", F.col("b.term").alias("term"), F.col("b.df").alias("df"), F.round(_idf(n, F.col("b.df")), 6).alias("idf")).orderBy(F.desc("idf"), "doc_id").limit(k)
+
+
+def _idf(n: int, df: Column) -> Column:
+    return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
 
 
 # --- substrings ---------------------------------------------------------------------------------------------------------------------
