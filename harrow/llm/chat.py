@@ -114,28 +114,30 @@ def format_conversations(turns: DataFrame, template: Template = Template(), id_c
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """Digests of each conversation, parsed from the rows of ``format_conversations`` as they come: conv_id, n_turns, turns_sha256 (role, line feed, text, line
-    feed of each turn), loss_chars and loss_sha256 (all text under the loss mask), formatted_chars, and complete."""
-    schema = T.StructType([formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()), T.StructField("complete", T.BooleanType())])
-    rows = formatted.select("conv_id", "segments", "complete")
+    feed of each turn), loss_chars and loss_sha256 (all text under the loss mask), formatted_chars, valid (the machine allows every turn and the end), and
+    first_refused (the place of the first turn that it doesn't allow; null if none)."""
+    schema = T.StructType([formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()), T.StructField("valid", T.BooleanType()), T.StructField("first_refused", T.LongType())])
+    rows = formatted.select("conv_id", "segments", "allowed", "complete")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns, loss = hashlib.sha256(), hashlib.sha256()
-        n, loss_chars, chars = 0, 0, 0
+        n, loss_chars, chars, refused = 0, 0, 0, None
         for batch in batches:
             out = []
-            for conv, parts, complete in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, parts, allowed, complete in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 whole = "".join(p["text"] for p in parts)
                 role, text = parse_turn(whole, template)
                 turns.update(f"{role}\n{text}\n".encode())
                 masked = "".join(unescape(p["text"]) for p in parts if p["loss"])
                 loss.update(masked.encode())
+                refused = n if refused is None and not allowed else refused
                 n, loss_chars, chars = n + 1, loss_chars + len(masked), chars + len(whole)
                 if complete is not None:  # the last turn
-                    out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, complete))
+                    out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, complete, refused))
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                    n, loss_chars, chars = 0, 0, 0
+                    n, loss_chars, chars, refused = 0, 0, 0, None
             if out:
-                kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
