@@ -5,7 +5,9 @@ pairs) is fitted to trusted positives and unlabelled text by minimising the non-
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
-with the logistic loss. The class prior is estimated from the labels of the fitting side. Known negatives are used for nothing else.
+with the logistic loss. The class prior is estimated from positives and unlabelled texts alone: models are fitted to halves of both, and on the
+other half the share of unlabelled texts above a score, over that of positives, is smallest where only positives score so high; that least ratio is the
+prior. Known negatives are used for nothing, but for ``labelled_share``, which is reported beside the prior.
 """
 
 from __future__ import annotations
@@ -70,6 +72,8 @@ class Model:
     weights: np.ndarray
     bias: float
     prior: float
+    #: The share of positives among the labels of the fitting side: reported, not used.
+    labelled_share: float | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) / self.scale).clip(-8, 8) @ self.weights + self.bias
@@ -99,6 +103,32 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2, rounds: int = 2) -> float:
+    """The class prior of ``unlabelled``, within 0.05 to 0.95: the least ratio of the shares of unlabelled and of positive texts above a score, over
+    scores that a share ``least`` of the positives reach. Each half is scored by a model of the other; the estimate of a round is the prior that the
+    next round's models are fitted with, as better models overestimate less."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    prior = 0.5
+    for _ in range(rounds):
+        found = []
+        for own, other in ((0, 1), (1, 0)):
+            model = fit_nnpu(positive[own::2], unlabelled[own::2], prior)
+            found.append(_least_ratio(model.scores(positive[other::2]), model.scores(unlabelled[other::2]), least))
+        prior = float(min(0.95, max(0.05, sum(found) / 2)))
+    return prior
+
+
+def _least_ratio(p: np.ndarray, u: np.ndarray, least: float) -> float:
+    p, u = np.sort(p), np.sort(u)
+    cuts = np.unique(np.quantile(p, np.linspace(0, 1 - least, 81)))
+    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    # what chance allows is added before the least is chosen, so that a small top bin doesn't decide
+    slack = np.sqrt(above_u * (1 - above_u) / len(u)) + np.sqrt(above_p * (1 - above_p) / len(p))
+    best = int(np.argmin((above_u + slack) / np.maximum(above_p, 1e-9)))
+    return float(above_u[best] / max(above_p[best], 1e-9))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text, mod 3, is 1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -107,18 +137,18 @@ def held_out(doc_id: Column) -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits to at most ``sample`` positives and ``sample`` unlabelled texts of the side that is not held out.
 
-    The prior is the share of positives among that side's labels (0.5 where there is none), kept within 0.05 to 0.95. Without any positive the
-    model gives the prior to every text. Rows with a null id or label teach nothing; a null text counts as empty; other columns are ignored.
+    ``sample`` bounds what the fit holds; the choice is by a hash of the id, and of the rows of one id that with the smallest hash of its text is taken. Without
+    any positive the model gives 0.5 to every text. Rows with a null id or label teach nothing; a null text counts as empty; other columns are ignored.
     """
     spark = documents.sparkSession
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     count, share = known.agg(F.count("*"), F.avg(F.when(F.col("y") == 1, 1.0).otherwise(0.0))).first()
-    prior = min(0.95, max(0.05, share)) if count else 0.5
     order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
     chosen = known.where("y = 1").select("id").distinct().orderBy(order, "id").limit(sample).withColumn("side", F.lit(1))
     every = documents.select(F.col(id_column).alias("id")).where("id is not null").where(~held_out(F.col("id"))).distinct().orderBy(order, "id").limit(sample).withColumn("side", F.lit(0))
     sides = chosen.unionByName(every).groupBy("id").agg(F.max("side").alias("positive"), (F.min("side") == 0).alias("unlabelled"))  # at most 2 * sample rows
-    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(sides), "id").select("positive", "unlabelled", "text")
+    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(sides), "id")
+    texts = texts.groupBy("id", "positive", "unlabelled").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("positive", "unlabelled", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
@@ -126,24 +156,28 @@ def fit_quality(documents: DataFrame, labels: DataFrame, id_column: str = "doc_i
             rows = [r.tobytes() for a, b in chunks(values) for r in features(values[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["positive", "unlabelled", "x"])
 
-    got = texts.mapInArrow(run, "positive int, unlabelled boolean, x binary").limit(4 * sample).collect()  # repeated ids can't grow it
+    got = texts.mapInArrow(run, "positive int, unlabelled boolean, x binary").collect()  # at most 2 * sample rows
     width = len(features([b"a"])[0])
     matrix = np.frombuffer(b"".join(bytes(r.x) for r in got), dtype=np.float32).reshape(-1, width)
     p = matrix[[r.positive == 1 for r in got]] if got else matrix
     u = matrix[[bool(r.unlabelled) for r in got]] if got else matrix
     if not len(p) or not len(u):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))), prior)
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5, share)
     # a fixed order of rows, so that sums round alike
-    return fit_nnpu(p[np.lexsort(p.T[:3])], u[np.lexsort(u.T[:3])], prior)
+    mixed = lambda x: x[np.lexsort(x.T[:3])][np.random.default_rng(0).permutation(len(x))]
+    p, u = mixed(p), mixed(u)
+    model = fit_nnpu(p, u, estimated_prior(p, u))
+    model.labelled_share = share
+    return model
 
 
-def score_quality(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """``documents`` with a column ``score`` (0 to 1; higher: better quality likelier) of the whole text; a column of that name is replaced.
+def score_quality(documents: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """``documents`` with a column ``score_column`` (0 to 1; higher: better quality likelier) of the whole text; a column of that name is replaced.
 
     A null text counts as empty; both have a score. All rows and other columns stay as they are. An empty table gives an empty result.
     """
-    rows = documents.drop("score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    rows = documents.drop(score_column)
+    schema = T.StructType([*rows.schema.fields, T.StructField(score_column, T.DoubleType())])
     at = rows.columns.index(text_column)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
