@@ -23,6 +23,8 @@ from .textbytes import words_of
 
 #: Words in a window, bytes of text in a shard, and every how many text positions one is sampled.
 WINDOW_WORDS, SHARD_BYTES, SAMPLE = 13, 4 << 20, 16
+#: Words of one index: a longer text is indexed in stretches that overlap by a window less a word.
+SHARD_WORDS = 1 << 20
 #: Bytes of benchmark text that are held in one set of patterns; a larger benchmark is searched in several sets.
 PATTERN_BYTES = 32 << 20
 
@@ -133,23 +135,35 @@ class Patterns:
         first = np.cumsum(count) - count
         self.vocabulary = np.unique(h)
         symbol = np.searchsorted(self.vocabulary, h) + 1
-        rows: dict[bytes, int] = {}
-        owners: list[set[int]] = []
-        for i, n in enumerate(count):
-            seq = symbol[first[i] : first[i] + n]
-            for k in range(max(1, n - window + 1) if n else 0):
-                key = seq[k : k + window].astype(np.int32).tobytes()
-                if rows.setdefault(key, len(owners)) == len(owners):
-                    owners.append(set())
-                owners[rows[key]].add(i)
-        self.lengths = np.array([len(k) // 4 for k in rows], dtype=np.int64)
-        self.symbols = np.zeros((len(rows), window), dtype=np.int64)
-        for r, k in enumerate(rows):
-            self.symbols[r, window - len(k) // 4 :] = np.frombuffer(k, dtype=np.int32)
-        self.items = [str(i) for i, _ in items]
-        self.owner_count = np.array([len(x) for x in owners], dtype=np.int64)
+        runs = np.where(count >= window, count - window + 1, np.minimum(count, 1))
+        of = np.repeat(np.arange(len(items)), runs)
+        at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+        length = np.minimum(count[of], window)
+        # windows as rows of symbols, right-aligned; shorter ones begin with zeros
+        rows = np.zeros((len(of), window), dtype=np.int32)
+        for k in range(window):
+            inside = k >= window - length
+            rows[inside, k] = symbol[(at + k - (window - length))[inside]]
+        self.symbols, which = np.unique(rows, axis=0, return_inverse=True)
+        which = which.ravel()
+        self.lengths = (self.symbols > 0).sum(axis=1)
+        pairs = np.unique(which * max(1, len(items)) + of)
+        which, self.owners = np.divmod(pairs, max(1, len(items)))
+        self.owner_count = np.bincount(which, minlength=len(self.symbols))
         self.owner_first = np.cumsum(self.owner_count) - self.owner_count
-        self.owners = np.array([i for x in owners for i in sorted(x)], dtype=np.int64)
+        self.items = [None if i is None else str(i) for i, _ in items]
+
+
+def _occurrences(symbol: np.ndarray, doc: np.ndarray, origin: int, p: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, word where it begins) of the occurrences in a stretch of words, by an index of the stretch."""
+    place = np.arange(len(symbol)) + doc - doc[0]  # each text is followed by one separator
+    t = np.zeros(int(place[-1]) + 2, dtype=np.int64)
+    t[place] = symbol
+    index = FMIndex(t, len(p.vocabulary) + 1)
+    which, low, high = index.search(p.symbols, p.lengths)
+    many = high - low
+    rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.repeat(which, many), np.searchsorted(place, index.locate(rows)) + origin
 
 
 def scan_shard(texts: list[bytes | None], p: Patterns) -> list[tuple[int, int, list[int], list[str], list[int]]]:
@@ -160,17 +174,12 @@ def scan_shard(texts: list[bytes | None], p: Patterns) -> list[tuple[int, int, l
     if not len(h) or not len(p.vocabulary):
         return out
     at = np.minimum(np.searchsorted(p.vocabulary, h), len(p.vocabulary) - 1)
-    t = np.zeros(len(h) + len(texts), dtype=np.int64)
-    place = np.arange(len(h)) + doc  # each text is followed by one separator
-    t[place] = np.where(p.vocabulary[at] == h, at + 1, 0)
-    index = FMIndex(t, len(p.vocabulary) + 1)
-    which, low, high = index.search(p.symbols, p.lengths)
-    if not len(which):
+    symbol = np.where(p.vocabulary[at] == h, at + 1, 0)
+    width = p.symbols.shape[1]
+    parts = [_occurrences(symbol[k : k + SHARD_WORDS + width - 1], doc[k : k + SHARD_WORDS + width - 1], k, p) for k in range(0, len(h), SHARD_WORDS)]
+    pattern, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(pattern):
         return out
-    many = high - low
-    rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    pattern, position = np.repeat(which, many), index.locate(rows)
-    begin = np.searchsorted(place, position)  # the word there
     length = p.lengths[pattern]
     cover = np.zeros(len(h) + 1, dtype=np.int64)
     np.add.at(cover, begin, 1)
@@ -180,7 +189,7 @@ def scan_shard(texts: list[bytes | None], p: Patterns) -> list[tuple[int, int, l
     pairs = p.owner_count[pattern]
     owner = p.owners[np.repeat(p.owner_first[pattern] - (np.cumsum(pairs) - pairs), pairs) + np.arange(pairs.sum())]
     found = np.unique(np.repeat(doc[begin], pairs) * max(1, len(p.items)) + owner)
-    items: dict[int, list[str]] = {}
+    items: dict[int, list[str | None]] = {}
     for x in found:
         items.setdefault(int(x // len(p.items)), []).append(p.items[x % len(p.items)])
     first = np.cumsum(n_words) - n_words
@@ -189,7 +198,7 @@ def scan_shard(texts: list[bytes | None], p: Patterns) -> list[tuple[int, int, l
         edge = np.flatnonzero(np.diff(own.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         spans = edge.reshape(-1, 2)
         places = np.column_stack((start[first[d] + spans[:, 0]], end[first[d] + spans[:, 1] - 1])).ravel()
-        out[d] = (int(n_words[d]), int(n_hit[d]), edge.tolist(), sorted(set(names)), places.tolist())
+        out[d] = (int(n_words[d]), int(n_hit[d]), edge.tolist(), sorted(set(names), key=lambda x: (x is None, x or "")), places.tolist())
     return out
 
 
@@ -200,6 +209,7 @@ def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column:
     own = T.StructType([T.StructField("doc_id", documents.schema[id_column].dataType), *kept])
     schema = T.StructType([*own.fields, *found])
     width = len(own.fields)
+    at = 1 + keep.index(text_column) if text_column in keep else width  # a kept text is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
@@ -213,8 +223,8 @@ def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column:
             return pa.RecordBatch.from_arrays([*first, *cols], names=schema.names)
 
         size = 0
-        for batch in by_bytes(batches, width, SHARD_BYTES):
-            values, begin = batch.column(width).to_pylist(), 0
+        for batch in by_bytes(batches, at, SHARD_BYTES):
+            values, begin = batch.column(at).cast(pa.binary()).to_pylist(), 0
             for i, v in enumerate(values):
                 size += len(v or b"")
                 texts.append(v)
@@ -227,7 +237,7 @@ def _scan(documents: DataFrame, patterns: Patterns, id_column: str, text_column:
         if texts:
             yield done()
 
-    return documents.select(F.col(id_column).alias("doc_id"), *[F.col(c) for c in keep], F.col(text_column).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return documents.select(F.col(id_column).alias("doc_id"), *[F.col(c) for c in keep], *([F.col(text_column).alias("_text")] if at == width else [])).mapInArrow(run, schema)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
@@ -235,19 +245,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
 
     Spans are flat lists of starts and ends: words, and bytes of the UTF-8 text. Null and wordless texts have no
     words, spans or items; null and wordless items have no windows. One row comes out for each row that goes in,
-    repeated rows and null ids included; other columns of the input are ignored. An empty table gives an empty result.
+    repeated rows and null ids included; other columns of the input are ignored, and a kept column may have any name but doc_id. An empty table gives an
+    empty result. An item without an id counts as one, and stands in ``items`` as null.
     The benchmark's size is measured first: patterns are broadcast in sets of at most ``pattern_bytes`` bytes of item text (a
     single longer item is a set of its own), and the sets' spans are merged.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sets = max(1, -(-int(total) // pattern_bytes))
     if sets == 1:
         return _scan(documents, Patterns(_collected(items)), id_column, text_column, keep)
-    marked = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c) for c in keep])
+    marked = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c) for c in keep if c not in ("_row", "_id", "_text")])
     marked = written(marked, "documents")
-    parts = [_scan(marked, Patterns(_collected(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == s))), "_row", "_text") for s in range(sets)]
+    # one set at a time: its patterns are in memory only while it is searched
+    parts = [written(_scan(marked, Patterns(_collected(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == s))), "_row", "_text"), "spans") for s in range(sets)]
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
