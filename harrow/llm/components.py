@@ -3,7 +3,7 @@
 Each round every vertex picks, of itself and its neighbours, the one with the smallest round-seeded hash, and
 edges are contracted to the picks. Random priorities shrink paths, stars and cliques alike by a constant
 factor a round, so the number of rounds grows with the logarithm of the vertices. Picks are found by a
-partially aggregated ``min``, so a vertex with very many edges is not gathered. Every round is written to the
+partially aggregated ``min``, and looked up by joins that spread one vertex's edges, so a vertex with very many edges is not gathered. Every round is written to the
 shared folder.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import drop_written, spread_join, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,13 +29,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")), F.struct(F.col("a").alias("v"), F.col("a").alias("w")), F.struct(F.col("b").alias("v"), F.col("b").alias("w")))).alias("x")).select("x.v", "x.w")
         parent = written(both.groupBy("v").agg(F.min(pick).alias("p")).select("v", F.col("p.w").alias("p")), "parents")
         left, right = (parent.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in ("a", "b"))
-        joined = e.join(left, "a").join(right, "b").where("pa <> pb")
+        joined = spread_join(spread_join(e, left, "a", "inner"), right, "b", "inner").where("pa <> pb")
         smaller = written(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         if labels is None:
             labels = parent.select(F.col("v").alias("vertex"), F.col("p").alias("root"))
         else:
             moved = parent.select(F.col("v").alias("root"), F.col("p").alias("_p"))
-            old, labels = labels, written(labels.join(moved, "root", "left").select("vertex", F.coalesce("_p", "root").alias("root")), "labels")
+            old, labels = labels, written(spread_join(labels, moved, "root").select("vertex", F.coalesce("_p", "root").alias("root")), "labels")
             if turn > 1:
                 drop_written(old)
         drop_written(e)

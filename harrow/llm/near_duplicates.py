@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import by_bytes, written
+from .shared import by_bytes, spread_join, written
 from .textbytes import chunks, mix, shingles_of, words_of
 
 #: Words in a shingle, least similarity, bands of registers, registers in a band, members in a tile.
 SHINGLE, THRESHOLD, BANDS, ROWS, TILE = 5, 0.8, 32, 8, 512
+#: Shingles of a block (8 to 12 bytes each).
+TILE_SHINGLES = 1 << 20
 #: Ids that may be broadcast (about 40 bytes each); beyond that a shuffle is used.
 BROADCAST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -266,11 +268,16 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     wanted = F.broadcast(wanted) if n_needed <= BROADCAST_IDS else wanted
     shingles = written(_shingled(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text"), shingle), "shingles")
 
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    plain = members.where(mark != F.col("hub")).select("bucket", F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int").alias("block"), F.lit(1).alias("rank"), "key")
-    hubs = members.where(mark == F.col("hub")).select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("rank"), "key")
-    star = plain.unionByName(hubs).join(shingles, "key").select("bucket", "block", "rank", "key", "shingles", "weights")
-    star = star.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rank")
+    sizes = shingles.select("key", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    members = written(spread_join(members, sizes, "key", "inner"), "sized")
+    # blocks of a bucket are bounded by members and by shingles
+    parts = lambda n, size: F.greatest(F.ceil(n / tile), F.ceil(size / TILE_SHINGLES), F.lit(1)).cast("int")
+    buckets = members.groupBy("bucket").agg(parts(F.count("*"), F.sum("size")).alias("blocks"))
+    placed = spread_join(members, written(buckets, "buckets"), "bucket", "inner")
+    plain = placed.where(mark != F.col("hub")).select("bucket", F.pmod(F.xxhash64("key", "bucket"), "blocks").cast("int").alias("block"), F.lit(1).alias("rank"), "key").join(shingles, "key")
+    # a hub gets its shingles before it is copied to the blocks
+    hubs = placed.where(mark == F.col("hub")).join(shingles, "key").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("rank"), "key", "shingles", "weights")
+    star = plain.unionByName(hubs).select("bucket", "block", "rank", "key", "shingles", "weights").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rank")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -282,12 +289,24 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         yield from _links(each())
 
     first = connected_components(star.mapInArrow(stars, "a binary, b binary"))
-    joined = members.where("n > 2").join(first.withColumnRenamed("vertex", "key"), "key", "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("component"))
+    joined = spread_join(members.where("n > 2"), first.withColumnRenamed("vertex", "key"), "key").select("bucket", "key", "size", F.coalesce("root", "key").alias("component"))
     joined = written(joined, "joined")
     open_ = joined.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = joined.join(open_, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
-    tiles = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own"), "key", "component")
-    tiles = tiles.join(shingles, "key").select("bucket", "p", "q", "own", "key", "component", "shingles", "weights").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    left = written(spread_join(joined, written(open_, "open"), "bucket", "inner"), "left")
+    # a component that fills a tile has blocks of its own, and those of one component are not compared with each other; smaller ones share blocks
+    per = left.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    large = (F.col("n") * 2 > tile) | (F.col("size") * 2 > TILE_SHINGLES)
+    alone = per.where(large).select("bucket", "component", parts(F.col("n"), F.col("size")).alias("blocks"))
+    pooled = per.where(~large).groupBy("bucket").agg(parts(F.sum("n"), F.sum("size")).alias("blocks"))
+    slots = written(alone.unionByName(pooled.withColumn("component", F.lit(None).cast("binary")), allowMissingColumns=True).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "slots")
+    slots = slots.withColumn("id", F.xxhash64("bucket", "component", "slot"))
+    pairs = slots.select("bucket", F.col("id").alias("p"), F.col("component").alias("c")).join(slots.select("bucket", F.col("id").alias("q"), F.col("component").alias("d")), "bucket").where("p <= q and not coalesce(c = d, false)").select("bucket", "p", "q")
+    pairs = written(pairs, "pairs")
+    own = left.join(alone.withColumnRenamed("blocks", "_n"), ["bucket", "component"], "left").join(pooled, "bucket", "left")
+    slot = F.pmod(F.xxhash64("key", "bucket"), F.coalesce("_n", "blocks")).cast("int")
+    own = own.select("bucket", "key", "component", F.xxhash64("bucket", F.when(F.col("_n").isNotNull(), F.col("component")), slot).alias("own")).join(shingles, "key")
+    either = pairs.select("bucket", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("own"))
+    tiles = own.join(either, ["bucket", "own"]).select("bucket", "p", "q", "own", "key", "component", "shingles", "weights").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -309,11 +328,15 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 def _classes(signed: DataFrame, labels: DataFrame | None) -> DataFrame:
     """labels: key, root of the keys that are linked with others."""
-    smallest = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    smallest = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     if labels is not None:
-        named = smallest.join(labels, "key")
-        of_root = named.groupBy("root").agg(F.min("least").alias("of_root"))
-        moved = named.join(of_root, "root").select("key", "of_root")
-        smallest = smallest.join(moved, "key", "left").select("key", F.coalesce("of_root", "least").alias("least"))
-    out = signed.select("doc_id", "key").join(smallest, "key", "left")
+        named = written(smallest.join(labels, "key"), "named")
+        of_root = written(named.groupBy("root").agg(F.min("least").alias("of_root")), "roots")
+        moved = spread_join(named.select("root", "key"), of_root, "root", "inner").select("key", "of_root")
+        smallest = smallest.join(moved, "key", "left").select("key", F.coalesce("of_root", "least").alias("least"), (F.col("n") > 1).alias("copied"), F.col("of_root").isNotNull().alias("moved"))
+    else:
+        smallest = smallest.select("key", "least", (F.col("n") > 1).alias("copied"), F.lit(False).alias("moved"))
+    # only rows of texts that occur again or are linked are looked up
+    changed = written(smallest.where("copied or moved").select("key", "least"), "changed")
+    out = spread_join(signed.select("doc_id", "key"), changed, "key")
     return out.select("doc_id", F.coalesce("least", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -9,14 +9,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set under /tmp only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session on one machine (tests) may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -43,6 +45,21 @@ def drop_written(df: DataFrame) -> None:
         return
 
 
+#: Rows of a table with unique keys that ``spread_join`` broadcasts (about 60 bytes each); beyond that it spreads each key over so many tasks.
+BROADCAST_ROWS, SALTS = 500_000, 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left`` joined to ``right``, whose keys are unique and which is counted first: broadcast if it is small, else by a shuffle in which the rows of one
+    key are spread over ``SALTS`` tasks. Rows of ``left`` without a key go round the exchange."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    salt = F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(SALTS)).cast("int")
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = left.where(F.col(key).isNotNull()).withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")
+    return found if how == "inner" else found.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 #: Bytes of texts in a batch that an operator works on at once.
 TEXT_BYTES = 4 << 20
 
