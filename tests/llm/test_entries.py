@@ -8,7 +8,7 @@ from harrow.llm import entries
 D = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_near_duplicates": "doc_id class_id kept", "op2_shards": "doc_id size text_crc32 law shard slot grown_shard", "op3_quality": "doc_id held_out score predicted",
-    "op4_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op5_url_filter": "page_id host path rule verdict",
+    "op4_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars valid first_refused", "op5_url_filter": "page_id host path rule verdict",
     "op6_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op7_token_files": "doc_id start n_tokens ids_crc32",
     "op8_near_duplicate_vectors": "vec_id n_links component_id kept", "op9_token_counts": "doc_id n_bytes n_tokens over_limit", "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
 }

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from harrow.llm.chat import Template, escape, escape_role, format_conversations, parse_turn, read_back, segments, unescape, unescape_role
 from harrow.llm.decontamination import FMIndex, contamination_report, decontaminate, remove_spans, suffix_array
-from harrow.llm.quality import features, fit_nnpu, fit_quality, held_out, score_quality
-from harrow.llm.url_filter import filter_urls
+from harrow.llm.quality import features, estimated_prior, fit_nnpu, fit_quality, held_out, score_quality
+from harrow.llm import decontamination, entries
+from harrow.llm.url_filter import EXPRESSION_RULES, filter_urls
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -42,6 +43,22 @@ def test_nnpu_finds_the_negatives():
     assert (s[:700] >= 0.5).mean() > 0.9 and (s[700:] < 0.5).mean() > 0.9
 
 
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.7, 0.9):
+        n = int(4000 * prior)
+        p, u = rng.normal(1, 1, (2000, 5)), np.concatenate((rng.normal(1, 1, (n, 5)), rng.normal(-1.5, 1, (4000 - n, 5))))
+        u = u[rng.permutation(len(u))]
+        assert abs(estimated_prior(p, u) - prior) < 0.06
+
+
+def test_quality_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(i % 7, f"words of text {i} and more") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    one, two = (fit_quality(d, labels) for d in (docs.repartition(3), docs.repartition(5)))
+    assert np.array_equal(one.weights, two.weights)
+
+
 def test_chat_escape():
     rng = random.Random(0)
     for _ in range(2000):
@@ -65,7 +82,7 @@ def test_chat(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].formatted_chars == sum(len(s) for r, t in turns for s, _ in segments(r, t, Template()))
-    assert {c: r.complete for c, r in got.items()} == {1: True, 2: False, 3: False, None: False}
+    assert {c: (r.valid, r.first_refused) for c, r in got.items()} == {1: (True, None), 2: (False, 0), 3: (False, 2), None: (False, 1)}
     assert read_back(format_conversations(df.limit(0))).count() == 0
 
 
@@ -96,6 +113,37 @@ def test_urls(spark):
     assert filter_urls(df.limit(0), RULES).count() == 0
 
 
+def test_urls_with_many_rules(spark):
+    more = [(f"h{i}.example", f"/p{i}", "block" if i % 2 else "allow") for i in range(EXPRESSION_RULES + 5)]
+    urls = [f"https://{'www.' if i % 3 else ''}h{i}.example/p{i}{'/x' if i % 2 else ''}" for i in range(0, EXPRESSION_RULES, 7)]
+    urls += ["http://a.net/", "http://www.example.net/en/1", "http://example.com/de/", None, "", "none", "http://../", "http:///p1", *["http://h1.example/p1"] * 50]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    table = spark.createDataFrame(RULES + more, "host string, path string, verdict string")
+    by_list, by_table = (sorted(map(tuple, filter_urls(df, r).collect())) for r in (RULES + more, table))
+    assert by_list == by_table and len(by_list) == len(urls)
+    for i, host, path, rule, verdict in by_list:
+        fits = [(len(h + p), v == "allow", h + p, v) for h, p, v in RULES + more if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+        assert (rule, verdict) == (max(fits)[2:] if fits else (None, "allow"))
+
+
+def test_url_query_with_redirects_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["a.net", "b.org", "www.example.net", "c.io", "EXAMPLE.com", "d.io", "x.d.io"]
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice([f'/p{rng.randrange(400)}'] * 12 + ['', '/en/', '/de/1', '/fr/', '/q?a=1&b=2'])}{rng.choice(['', '', '#f'])}"
+    rel = lambda: rng.choice([url(), url(), f"/p{rng.randrange(400)}", f"p{rng.randrange(400)}", f"//c.io/p{rng.randrange(400)}", "/q?a=1&amp;b=2"])
+    html = lambda: rng.choice(["", "", "<p>x</p>", f'<LINK rel="canonical" href="{rel()}">', f'<meta http-equiv="Refresh" content="0; URL={rel()}">', f"<link href='{rel()}' rel='canonical'/><meta content=\"1;url={rel()}\" http-equiv=refresh>"])
+    rows = [(i, url(), html()) for i in range(400)] + [(400, None, html()), (401, "no scheme", html()), (1, url(), None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, entries.QUERIES["op5_url_filter"](spark, f"file://{tmp_path}").collect())))
+    assert got == sorted(map(repr, c.sql(entries.SQL["op5_url_filter"]).fetchall()))
+    without = c.sql(entries.SQL["op5_url_filter"].replace("FROM pages)", "FROM (SELECT page_id, url, '' AS html FROM pages))")).fetchall()
+    assert got != sorted(map(repr, without))  # the edges decide some verdicts
+
+
 def brute_hits(text, items):
     w = [x.decode() for x in WORDS.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))] if text else []
     hit, names = set(), set()
@@ -115,7 +163,7 @@ def test_decontamination(spark, pattern_bytes):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(6)] + ["É", "ß1"]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 5, 13, 20])))) for i in range(25)] + [(99, None), (98, ""), (97, "?!"), (7, "w1 w2 w3 w4")]
-    rows = [(i, ", ".join(rng.choice(words) for _ in range(rng.randrange(60))) + (" " + rng.choice(items[:25])[1] if i % 3 == 0 else " zzz")) for i in range(80)]
+    rows = [(i, ", ".join(rng.choice(words) for _ in range(rng.randrange(400))) + (" " + rng.choice(items[:25])[1] if i % 3 == 0 else " zzz")) for i in range(80)]
     rows += [(200, None), (201, ""), (202, "..."), (203, items[4][1].upper() * 1), (203, items[4][1]), (None, items[5][1])]
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_hit int, items string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -128,6 +176,25 @@ def test_decontamination(spark, pattern_bytes):
     assert decontaminate(docs.limit(0), bench).count() == 0 and decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_hit_and_count(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (7, "two three"), (None, None)], "item_id long, text string")
+    for size in (1 << 25, 3):
+        got = {r.doc_id: tuple(r)[1:5] for r in contamination_report(decontaminate(docs, bench, pattern_bytes=size)).collect()}
+        assert got == {1: (3, 3, 2, hashlib.sha256(b"7").hexdigest()), 2: (1, 0, 0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_long_texts_are_indexed_in_stretches(monkeypatch):
+    rng = random.Random(5)
+    words = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([2, 9, 13, 15])))) for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 300, 7, 90)]
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 40)
+    got = decontamination.scan_shard([t.encode() for t in texts], decontamination.Patterns([(str(i), t.encode()) for i, t in items]))
+    for t, (n, hit, _, names, _) in zip(texts, got, strict=True):
+        assert (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest()) == brute_hits(t, items)
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(4)
     t = np.append(rng.integers(0, 4, 500), 0)
@@ -177,5 +244,9 @@ def test_pipeline_odd_rows(spark, sf):
         out = stage(spark, at, sf)
         assert out.count() <= 7
         assert stage(spark, at.limit(0), sf).count() == 0
+        more = at.withColumns({"n_words": F.lit("a"), "score": F.lit("b"), "items": F.lit("c"), "_row": F.lit(1), "_text": F.lit("d"), "key": F.lit(2)})
+        if n < 3:
+            clash = stage(spark, more, sf)
+            assert clash.columns == more.columns and clash.count() == out.count() and clash.where("score = 'b' and items = 'c'").count() == out.count()
         if n == 1:
             assert out.where("doc_id = 3").count() == 1
