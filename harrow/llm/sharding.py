@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Rows of a bucket of a shard, about; and most buckets of a shard.
-BUCKET_ROWS, MOST_BUCKETS = 20_000, 4096
-#: Cells of the matrix that are broadcast (16 bytes each); beyond that it is joined by a shuffle.
-MATRIX_CELLS = 4_000_000
+#: Rows, and bytes of strings and binaries, of a bucket of a shard, about.
+BUCKET_ROWS, BUCKET_BYTES = 20_000, 16 << 20
+#: Cells of the matrix, and buckets, that are broadcast (16 and 24 bytes each); beyond that they are joined by a shuffle.
+MATRIX_CELLS, BROADCAST_BUCKETS = 4_000_000, 1_000_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -98,20 +98,22 @@ def shard_documents(documents: DataFrame, shards: int = 24, seed: int = 7, stabl
         documents = written(documents, "unsharded")
     own = documents.columns
     placed = documents.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
-    found = sorted((r._file, r.n, r.last) for r in placed.groupBy("_file").agg(F.count("*").alias("n"), F.max("_place").alias("last")).collect())  # a row a file
-    if stable and any(last + 1 != n for _, n, last in found):
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in documents.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.sum(sum(wide, F.lit(0).cast("long"))).alias("size")
+    found = sorted((r._file, r.n, r.last, r.size) for r in placed.groupBy("_file").agg(F.count("*").alias("n"), F.max("_place").alias("last"), size).collect())  # a row a file
+    if stable and any(last + 1 != n for _, n, last, _ in found):
         return shard_documents(documents, shards, seed)
     if not found:
         return documents.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    counts = np.array([n for _, n, _ in found], dtype=np.int64)
+    counts = np.array([n for _, n, _, _ in found], dtype=np.int64)
     ends = communication_matrix(counts, shards, seed).cumsum(axis=1)
-    rows = [(f, p, n, [int(x) for x in e]) for p, ((f, n, _), e) in enumerate(zip(found, ends, strict=True))]
+    rows = [(f, p, n, [int(x) for x in e]) for p, ((f, n, _, _), e) in enumerate(zip(found, ends, strict=True))]
     matrix = spark.createDataFrame(rows, "_file string, _part int, _n long, _ends array<long>")
     matrix = F.broadcast(matrix) if ends.size <= MATRIX_CELLS else matrix
 
     x = permuted(F.col("_place"), F.col("_n"), F.xxhash64(F.lit(seed), F.col("_part")))
-    per = max(1, int(counts.sum()) // shards)
-    buckets = min(MOST_BUCKETS, -(-per // BUCKET_ROWS))
+    total, weight = int(counts.sum()), sum(x[3] for x in found)
+    buckets = max(1, -(-total // (shards * BUCKET_ROWS)), -(-weight // (shards * BUCKET_BYTES)))
 
     def dealt(rows: DataFrame) -> DataFrame:
         # the place is bound once: as a column of its own it would be worked out again for each element of _ends
@@ -120,10 +122,10 @@ def shard_documents(documents: DataFrame, shards: int = 24, seed: int = 7, stabl
         rows = rows.withColumn("_key", F.xxhash64(F.lit(seed + 1), F.col("_part"), F.col("_place")))
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_key")), F.lit(buckets)).cast("int"))
 
-    sizes = dealt(placed.select("_file", "_place")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # at most shards * MOST_BUCKETS rows
+    sizes = dealt(placed.select("_file", "_place")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))  # a row a bucket
     first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "_bucket", "_first")
     order = Window.partitionBy("shard", "_bucket").orderBy("_key", "_part", "_place")
-    out = dealt(placed).withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(first), ["shard", "_bucket"])
+    out = dealt(placed).withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(first) if shards * buckets <= BROADCAST_BUCKETS else first, ["shard", "_bucket"])
     return out.select(*own, "shard", (F.col("_first") + F.col("_rank")).cast("long").alias("slot"))
 
 

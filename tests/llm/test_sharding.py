@@ -84,3 +84,32 @@ def test_splits_change_between_passes(spark, tmp_path, monkeypatch):
             assert all(sorted(v) == list(range(len(v))) for v in by.values())
     finally:
         spark.conf.set(key, usual)
+
+
+def test_query_against_its_rows(spark, sf):
+    import zlib
+    from collections import Counter
+
+    from harrow.llm import entries
+
+    rows = entries.QUERIES["op2_shards"](spark, sf).collect()
+    want = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted(want)
+    assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    count = Counter(r.shard for r in rows)
+    assert set(count) == set(range(24)) and max(count.values()) - min(count.values()) <= 1
+    for s in count:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(count[s]))
+
+
+def test_buckets_by_bytes(spark, tmp_path, monkeypatch):
+    from harrow.llm import sharding
+
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 2000)
+    rows = [(i, "x" * (i % 90), None if i % 3 else b"yy") for i in range(700)] + [(700, "z" * 100_000, b""), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, raw binary").repartition(3)
+    got = sharding.shard_documents(df, 5).collect()
+    assert sorted(map(repr, [tuple(r)[:3] for r in got])) == sorted(repr((i, t, b)) for i, t, b in rows)
+    for s in range(5):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own))) and len(own) in (140, 141)
