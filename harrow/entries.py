@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.analysis import analyze, analyze_stopped, concat_docs, from_text_form, positions, set_zone, term_frequency, text_form
+from .functions.analysis import analyze, analyze_stopped, concat_docs, from_text_form, positions, set_zone, term_frequency, text_form, with_document
+from .functions.registry import register_functions, register_index
 from .operators import fusion, measures, presentation, rank, vector, vocabulary
 from .operators.index import StoredIndex, build_index
 from .operators.match import matches
@@ -30,7 +31,7 @@ def add(name: str, f: Query, sql: str | None = None) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").withColumn("doc", analyze(F.col("text")))
+    return with_document(read_table(spark, sf_dir, "documents"), analyze(F.col("text")))
 
 
 _indexes: dict[tuple[str, str], StoredIndex] = {}
@@ -92,7 +93,7 @@ for _name, (_q, _cond) in MATCHES.items():
 def _zones(spark: SparkSession, d: str) -> DataFrame:
     both = concat_docs(set_zone(analyze(F.col("source")), "A"), analyze(F.col("text")))
     doc = F.col("doc")
-    rows = read_table(spark, d, "documents").withColumn("doc", both)
+    rows = with_document(read_table(spark, d, "documents"), both)
     return rows.where(matches(doc, parse("src3:A | lang:A | the:AB"))).select("doc_id", doc["length"].cast("long").alias("length"), positions(doc, "src3", 8)[0].cast("long").alias("first"))
 
 
@@ -128,7 +129,7 @@ add("analyze_stopped", lambda s, d: read_table(s, d, "documents").select("doc_id
 def _english(spark: SparkSession, d: str) -> DataFrame:
     from .functions.english import analyze_english, normalize_query
 
-    docs = read_table(spark, d, "documents").withColumn("doc", analyze_english(F.col("text")))
+    docs = with_document(read_table(spark, d, "documents"), analyze_english(F.col("text")))
     return docs.where(matches(F.col("doc"), normalize_query(parse("nations | running | the shining")))).select("doc_id", F.col("doc.length").alias("length"))
 
 
@@ -239,6 +240,8 @@ add("edit_distance_order", lambda s, d: vocabulary.nearest_by_edits(documents(s,
 # Over all tokens, without SQL: DuckDB's levenshtein counts bytes.
 add("fuzzy_vocabulary_all", lambda s, d: vocabulary.index_fuzzy_terms(index(s, d), "with", 2).withColumn("distance", F.col("distance").cast("long")))
 add("edit_distance_order_all", lambda s, d: vocabulary.index_nearest_by_edits(index(s, d), "thereon", 40))
+add("length_quantized", lambda s, d: index(s, d).documents.select("doc_id", rank.quantized_length(F.col("length")).alias("n")), f"WITH {_D} SELECT doc_id, CAST(CASE WHEN len(w) < 16 THEN len(w) ELSE floor(len(w) / pow(2, floor(log2(len(w))) - 3)) * pow(2, floor(log2(len(w))) - 3) END AS BIGINT) AS n FROM d")
+add("index_health", lambda s, d: index(s, d).health(), f"WITH {_D} SELECT (SELECT count(*) FROM d) AS n_docs, CAST(0 AS BIGINT) AS positionless, count(DISTINCT doc_id) AS at_cap FROM (SELECT doc_id FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY doc_id, t HAVING count(*) >= 255)")
 add("anomalous_docs", lambda s, d: vocabulary.index_anomalous_docs(index(s, d), 50, 2), f"WITH {_D}, p AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), v AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) <= 2), m AS (SELECT doc_id, min(ROW(df, term)) AS b FROM p JOIN v USING (term) GROUP BY doc_id) SELECT doc_id, b[2] AS term, b[1] AS df, round(ln(1 + ((SELECT count(*) FROM d)::DOUBLE - b[1] + 0.5) / (b[1] + 0.5)), 6) AS idf FROM m ORDER BY idf DESC, doc_id LIMIT 50")
 add("index_invariants", lambda s, d: measures.check_stored(documents(s, d), index(s, d).postings), "SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('postings without a document', 0), ('frequencies differ from the length', 0), ('positions out of order', 0), ('positions differ from the frequency', 0), ('empty terms', 0)) AS t(\"check\", violations)")
 
@@ -300,6 +303,9 @@ def _arithmetic(spark: SparkSession, d: str) -> DataFrame:
 
 add("vector_arithmetic", _arithmetic, f"WITH {_V} SELECT vec_id, len(v) AS dims, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(2 * sqrt(list_dot_product(v, v)), 5) AS twice, 0.0::DOUBLE AS none, round(list_sum(list_transform(v, lambda x: x * x * x)), 5) AS cube, 1.0::DOUBLE AS \"unit\", embedding < list_transform(embedding, lambda x: x + x) AS less FROM e")
 
+add("vector_order", lambda s, d: read_table(s, d, "embeddings").select("vec_id", vector.compare(F.col("embedding"), vector.literal(_probe(s, d)).cast("array<float>")).cast("long").alias("cmp")), f"WITH {_PROBE.replace('::DOUBLE[]', '')} SELECT vec_id, CAST(CASE WHEN embedding < q THEN -1 WHEN embedding > q THEN 1 ELSE 0 END AS BIGINT) AS cmp FROM embeddings, q")
+add("vectors_sorted", lambda s, d: read_table(s, d, "embeddings").orderBy("embedding", "vec_id").select("vec_id").limit(50), "SELECT vec_id FROM embeddings ORDER BY embedding, vec_id LIMIT 50")
+
 # --- fusion -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -308,7 +314,8 @@ def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(normalize: bool, metric: str) -> Query:
-    return lambda s, d: fusion.fused_search(_with_vectors(s, d), ["with | the"], [_probe(s, d)], [1.0, 2.0], 20, metric, normalize, condition=F.col("lang") == "en").drop("parts")
+    vectors = lambda s, d: read_table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return lambda s, d: fusion.fused_index_search(index(s, d), vectors(s, d), ["with | the"], [_probe(s, d)], [1.0, 2.0], 20, metric, normalize, condition=F.col("lang") == "en").drop("parts")
 
 
 _J = f"{_D.replace('d AS (SELECT *', 'd AS (SELECT *, (SELECT any_value(embedding::DOUBLE[]) FROM embeddings e WHERE e.vec_id = documents.doc_id) AS v')}"
@@ -327,11 +334,14 @@ for _n, _mm in ((True, "l2"), (False, "l2"), (True, "ip")):
     add(f"fused_{_mm}{'' if _n else '_raw'}", _fused(_n, _mm), _fused_sql(_n, _mm))
 
 
+add("scan_fused", lambda s, d: fusion.fused_search(_with_vectors(s, d), ["with | the"], [_probe(s, d)], [1.0, 2.0], 20, condition=F.col("lang") == "en").drop("parts"), SQL["fused_l2"])
+
+
 def _fuse_value_all(spark: SparkSession, d: str) -> DataFrame:
     rows, q = _with_vectors(spark, d), parse("with")
-    lex = rank.lexscore(rank.distance(rank.value_score(F.col("doc"), q)))
-    vec = vector.cosine_score(vector.cosine_distance(F.col("embedding"), vector.literal(_probe(spark, d))))
-    return rows.select("doc_id", F.round(fusion.fuse([lex, vec], [0.5, 3.0]), 6).alias("f")).orderBy(F.asc_nulls_last("f"), "doc_id")
+    lex = rank.distance(rank.value_score(F.col("doc"), q))
+    vec = vector.cosine_distance(F.col("embedding"), vector.literal(_probe(spark, d)))
+    return rows.select("doc_id", F.round(fusion.fuse_distances([(lex, "lexical"), (vec, "cosine")], [0.5, 3.0]), 6).alias("f")).orderBy(F.asc_nulls_last("f"), "doc_id")
 
 
 add("fuse_value_all", _fuse_value_all)
@@ -401,6 +411,51 @@ add("window_tumbling", lambda s, d: windowed_counts(read_table(s, d, "events"),
 add("window_sliding", lambda s, d: windowed_counts(read_table(s, d, "events"), "event_type", "ts", "2 days", "1 day").withColumn("total", F.round("total", 4)), "SELECT date_trunc('day', ts) - to_days(k::INTEGER) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 2) r(k) GROUP BY ALL")
 add("window_session", lambda s, d: session_counts(read_table(s, d, "events"), "user_id", "ts", "6 hours"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k")
 
+
+def _stream_beside_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the caller's segments, then of a stream, then of the caller again."""
+    events = read_table(spark, d, "events")
+    t = IncrementalTable(spark, scratch(spark, "mixed"), _EVENT, "event_id")
+    own = events.select("event_id", "user_id", "event_type", "value")
+    t.upsert(own.withColumn("event_type", F.lit("first")), t.next_seq())
+    folder = scratch(spark, "arrivals")
+    own.where("event_id % 2 = 0").repartition(2).write.parquet(folder)
+    t.stream_into(spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(folder), scratch(spark, "progress")).awaitTermination()
+    t.delete(own.where("event_id % 10 = 0"), t.next_seq())
+    return t.current()
+
+
+add("stream_beside_upserts", _stream_beside_upserts, "SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'first' END AS event_type, value FROM events WHERE event_id % 10 <> 0")
+
+# --- functions from SQL -------------------------------------------------------------------------------------------------------------
+
+
+def _sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    register_functions(spark)
+    register_views(spark, d, ["documents"])
+    return spark.sql("SELECT doc_id, CAST(harrow_length(text) AS BIGINT) AS n, CAST(harrow_tf(text, 'with') AS BIGINT) AS tf, harrow_phrase(text, 'of', 'the', 1) AS phrase, round(harrow_bm25(harrow_tf(text, 'with'), harrow_length(text), 100, 10, 50), 6) AS score FROM documents")
+
+
+add("sql_functions", _sql_functions, f"WITH {_D} SELECT doc_id, CAST(len(w) AS BIGINT) AS n, len(list_filter(w, lambda x: x = 'with')) AS tf, {_pairs('of', 'the', 1, 1)} AS phrase, round(ln(1 + 90.5::DOUBLE / 10.5) * {_tf('with')} * 2.2 / ({_tf('with')} + 1.2 * (0.25 + 0.75 * len(w) / 50)), 6) AS score FROM d")
+
+
+def _sql_vectors(spark: SparkSession, d: str) -> DataFrame:
+    register_functions(spark)
+    register_views(spark, d, ["embeddings"])
+    return spark.sql("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(harrow_l2(embedding, q), 6) AS l2, round(harrow_l1(embedding, q), 5) AS l1, round(harrow_cosine(embedding, q), 6) AS cosine, round(harrow_fuse(array(harrow_cosscore(harrow_cosine(embedding, q)), harrow_l2score(harrow_l2(embedding, q))), array(2D, 1D)), 6) AS fused FROM embeddings, q")
+
+
+add("sql_vector_functions", _sql_vectors, f"WITH {_V}, {_PROBE}, x AS (SELECT vec_id, {_DIST['l2']} AS l2, {_DIST['l1']} AS l1, {_DIST['cosine']} AS c FROM e, q) SELECT vec_id, round(l2, 6) AS l2, round(l1, 5) AS l1, round(c, 6) AS cosine, round(-(2 * (1 - c) - l2 * l2), 6) AS fused FROM x")
+
+
+def _sql_index(spark: SparkSession, d: str) -> DataFrame:
+    register_functions(spark)
+    register_index(spark, index(spark, d))
+    return spark.sql("SELECT doc_id, score FROM harrow_index_search('with', 20)")
+
+
+add("sql_index_search", _sql_index, _top(["with"], _has("with"), 20))
+
 # --- relational coverage: the same SQL on both engines ------------------------------------------------------------------------------
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,7 +5,9 @@ The simple analyzer takes maximal runs of ASCII letters, ASCII digits and charac
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Between tokens.
@@ -14,6 +16,12 @@ SEPARATOR = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 ZONE_BIT = {"D": 1, "C": 2, "B": 4, "A": 8}
 
 
+def bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """f of the columns, each worked out once however often f names it."""
+    row = F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
+    return F.transform(row, lambda r: f(*[r[f"c{i}"] for i in range(len(columns))]))[0]
+
+
 def fold(text: Column) -> Column:
     """Lower case one character at a time: no expansion of the dotted capital I, no final form of sigma."""
     return F.lower(F.translate(text, "İΣ", "iσ"))
@@ -30,7 +38,17 @@ def analyze(text: Column, zone: str = "D") -> Column:
     return from_tokens(t, zone)
 
 
+def with_document(table: DataFrame, doc: Column, name: str = "doc") -> DataFrame:
+    """``table`` with a document column that is worked out once a row: an optimizer that moves a condition on it below its definition would
+    tokenise the text again for each part of the condition, and it moves none below a generator."""
+    return table.select(*[c for c in table.columns if c != name], F.explode(F.array(doc)).alias(name))
+
+
 def from_tokens(t: Column, zone: str = "D") -> Column:
+    return bound(lambda x: _from_tokens(x, zone), t)
+
+
+def _from_tokens(t: Column, zone: str) -> Column:
     n = F.size(t)
     places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     made = F.struct(t.alias("tokens"), places.alias("pos"), F.transform(t, lambda _: F.lit(ZONE_BIT[zone])).alias("zone"), n.alias("length"), F.lit(True).alias("has_pos"))
@@ -49,15 +67,15 @@ def analyze_stopped(text: Column, stopwords: list[str] | None = None) -> Column:
     stop = F.array(*[F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)])
     t = tokens(text)
     kept = F.filter(F.transform(t, lambda x, i: F.struct(x.alias("t"), (i + 1).cast("int").alias("p"))), lambda s: ~F.array_contains(stop, s["t"]))
-    made = F.struct(F.transform(kept, lambda s: s["t"]).alias("tokens"), F.transform(kept, lambda s: s["p"]).alias("pos"), F.transform(kept, lambda _: F.lit(ZONE_BIT["D"])).alias("zone"), F.size(kept).alias("length"), F.lit(True).alias("has_pos"))
-    return F.when(t.isNotNull(), made)
+    made = lambda k: F.struct(F.transform(k, lambda s: s["t"]).alias("tokens"), F.transform(k, lambda s: s["p"]).alias("pos"), F.transform(k, lambda _: F.lit(ZONE_BIT["D"])).alias("zone"), F.size(k).alias("length"), F.lit(True).alias("has_pos"))
+    return bound(lambda k: F.when(k.isNotNull(), made(k)), kept)
 
 
 def set_zone(doc: Column, zone: str) -> Column:
     """Every position relabelled; a document without positions stays as it is."""
     if zone not in ZONE_BIT:
         raise ValueError(f"no such zone: {zone}")
-    return F.when(doc["has_pos"], doc.withField("zone", F.transform(doc["tokens"], lambda _: F.lit(ZONE_BIT[zone])))).otherwise(doc)
+    return bound(lambda d: F.when(d["has_pos"], d.withField("zone", F.transform(d["tokens"], lambda _: F.lit(ZONE_BIT[zone])))).otherwise(d), doc)
 
 
 def strip_positions(doc: Column) -> Column:
@@ -66,6 +84,10 @@ def strip_positions(doc: Column) -> Column:
 
 def concat_docs(a: Column, b: Column) -> Column:
     """b after a: its positions shifted by the larger of a's length and last position; lengths add; without positions if either is."""
+    return bound(_concat_docs, a, b)
+
+
+def _concat_docs(a: Column, b: Column) -> Column:
     shift = F.greatest(a["length"], F.coalesce(F.array_max(a["pos"]), F.lit(0)))
     made = F.struct(
         F.concat(a["tokens"], b["tokens"]).alias("tokens"),
@@ -90,6 +112,10 @@ def term_frequency(doc: Column, term: str) -> Column:
 
 def text_form(doc: Column) -> Column:
     """``'term':tf@p1,p2A`` for each distinct term in order; zones are written but for D."""
+    return bound(_text_form, doc)
+
+
+def _text_form(doc: Column) -> Column:
     every = F.arrays_zip(doc["tokens"].alias("t"), doc["pos"].alias("p"), doc["zone"].alias("z"))
     ordered = F.array_sort(F.transform(every, lambda s, i: F.struct(s["t"].alias("t"), i.alias("i"), s["p"].alias("p"), s["z"].alias("z"))))
     label = lambda z: F.when(z == 8, "A").when(z == 4, "B").when(z == 2, "C").otherwise("")
@@ -103,9 +129,9 @@ def text_form(doc: Column) -> Column:
         # a term's places stand together: each run is cut out once
         starts = F.filter(F.transform(m, lambda x, i: F.when(~F.get(m, i - 1)["t"].eqNullSafe(x["t"]), i)), lambda i: i.isNotNull())
         cut = lambda at: F.transform(at, lambda i, k: F.slice(m, i + 1, F.coalesce(F.get(at, k + 1), F.size(m)) - i))
-        return F.transform(F.transform(F.array(starts), cut)[0], one)
+        return F.transform(bound(cut, starts), one)
 
-    return F.when(doc.isNotNull(), F.concat_ws(" ", F.transform(F.array(ordered), entries)[0]))
+    return F.when(doc.isNotNull(), F.concat_ws(" ", bound(entries, ordered)))
 
 
 def _from_entries(text: Column, pattern: str, names: int, places: int) -> Column:
@@ -114,13 +140,14 @@ def _from_entries(text: Column, pattern: str, names: int, places: int) -> Column
     bit = lambda x: F.when(x.endswith("A"), 8).when(x.endswith("B"), 4).when(x.endswith("C"), 2).otherwise(1)
 
     def one(e: Column) -> Column:
-        name = F.replace(e["n"], F.lit("''"), F.lit("'"))
         every = F.when(e["p"] == "", F.array(F.lit("0"))).otherwise(F.split(F.upper(e["p"]), ","))
-        return F.transform(every, lambda x: F.struct(name.alias("t"), F.regexp_extract(x, r"^[0-9]+", 0).cast("int").alias("p"), bit(x).alias("z")))
+        return bound(lambda name, each: F.transform(each, lambda x: F.struct(name.alias("t"), F.regexp_extract(x, r"^[0-9]+", 0).cast("int").alias("p"), bit(x).alias("z"))), F.replace(e["n"], F.lit("''"), F.lit("'")), every)
 
-    flat = F.array_sort(F.flatten(F.transform(entries, one)), lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0))
-    made = F.struct(F.transform(flat, lambda s: s["t"]).alias("tokens"), F.transform(flat, lambda s: s["p"]).alias("pos"), F.transform(flat, lambda s: s["z"]).alias("zone"), F.size(flat).alias("length"), F.exists(flat, lambda s: s["p"] > 0).alias("has_pos"))
-    return F.when(text.isNotNull(), made)
+    # in order of place, then term: the natural order of structs that begin with these
+    every = F.transform(F.flatten(F.transform(entries, one)), lambda s: F.struct(s["p"].alias("p"), s["t"].alias("t"), s["z"].alias("z")))
+    flat = F.array_sort(every)
+    made = lambda x: F.struct(F.transform(x, lambda s: s["t"]).alias("tokens"), F.transform(x, lambda s: s["p"]).alias("pos"), F.transform(x, lambda s: s["z"]).alias("zone"), F.size(x).alias("length"), F.exists(x, lambda s: s["p"] > 0).alias("has_pos"))
+    return F.when(text.isNotNull(), bound(made, flat))
 
 
 def from_tsvector(text: Column) -> Column:

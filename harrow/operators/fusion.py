@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.query import literals, parse
+from .index import StoredIndex
 from .match import matches
-from .rank import CorpusStats, bm25, corpus_stats, idf
-from .vector import l2_squared, literal, negative_inner_product
+from .rank import CorpusStats, bm25, corpus_stats, idf, lexscore
+from .vector import cosine_score, l2_score, l2_squared, literal, negated_score, negative_inner_product
 
 K1, B = 1.2, 0.75
 
@@ -76,6 +77,52 @@ def fused_search(table: DataFrame, texts: list[str], vectors: list[list[float]],
     return out.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def fused_index_search(index: StoredIndex, vectors_table: DataFrame, texts: list[str], vectors: list[list[float]], weights: list[float] | None = None, k: int = 10, metric: str = "l2", normalize: bool = True, gate: str | None = None, condition: Column | None = None, vector: str = "embedding") -> DataFrame:
+    """As ``fused_search``, over a stored index and a table (doc_id, ``vector``): text channels read the postings of their terms; ``condition`` is on facets."""
+    weights = check_weights(weights, len(texts) + len(vectors))
+    if not 2 <= len(weights) <= 31:
+        raise ValueError("2 to 31 channels")
+    stats = index.stats([t for q in texts for t in literals(parse(q))])
+    v = F.col(vector)
+    known = index.documents.where("length is not null") if texts and not vectors else index.documents
+    rows = (known if condition is None else known.where(condition)).select("doc_id")
+    ceilings = [lexical_ceiling(q, stats) for q in texts]
+    parts = []
+    if vectors:
+        owned = index.documents.select("doc_id").join(vectors_table.where(v.isNotNull()).select("doc_id", v), "doc_id")
+        rows = rows.join(owned, "doc_id")
+        longest = owned.agg(F.max(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0] or 0.0
+    if gate is not None:
+        rows = rows.join(index.matching(gate), "doc_id", "left_semi")
+    for i, q in enumerate(texts):
+        rows = rows.join(index.scored(q, stats, matched=False).withColumnRenamed("score", f"text{i}"), "doc_id", "left")
+        parts.append(F.coalesce(f"text{i}", F.lit(0.0)))
+    for q in vectors:
+        own = math.sqrt(sum(x * x for x in q))
+        ceilings.append(longest * own if metric == "ip" else -own * own + 2 * longest * own)
+        parts.append(-negative_inner_product(v, literal(q)) if metric == "ip" else -l2_squared(v, literal(q)))
+    if normalize:
+        weights = [w / c if c > 0 and math.isfinite(c) else w for w, c in zip(weights, ceilings, strict=True)]
+    total = parts[0] * weights[0]
+    for p, w in zip(parts[1:], weights[1:], strict=True):
+        total = total + p * w
+    out = rows.select("doc_id", F.round(total, 6).alias("score"), F.array(*[F.round(p, 6) for p in parts]).alias("parts"))
+    return out.orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def score_of(distance: Column, kind: str) -> Column:
+    """What a distance is worth as a score: ``lexical`` 1/d - 1, ``cosine`` 1 - d, ``l2`` minus its square, ``ip`` and ``edit`` minus itself; ``score`` is one already."""
+    kinds = {"lexical": lexscore, "cosine": cosine_score, "l2": l2_score, "ip": negated_score, "edit": negated_score, "score": lambda d: d}
+    if kind not in kinds:
+        raise ValueError(f"no such distance: {kind}")
+    return kinds[kind](distance)
+
+
+def fuse_distances(distances: list[tuple[Column, str]], weights: list[float] | None = None) -> Column:
+    """``fuse`` of distances of known kinds, each as its score."""
+    return fuse([score_of(d, kind) for d, kind in distances], weights)
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], id_column: str, order: list[tuple[str, bool]], k: int = 10, constant: int = 60) -> DataFrame:
     """Sum of 1 / (60 + rank) over ranked lists (column, whether descending) that each hold a top k: id, score."""
     every = None

@@ -191,6 +191,20 @@ class StoredIndex:
         one = found.agg(*[F.count_if(hit.get(q, F.lit(False))).alias(q) for q in nodes])
         return one.unpivot([], one.columns, "query", "n")
 
+    def health(self, cap: int = 255) -> DataFrame:
+        """n_docs, positionless (documents with tokens but no positions), at_cap (documents with a term of ``cap`` positions or more): one row."""
+        d = self.postings.groupBy("doc_id").agg(F.bool_and(F.col("positions").isNull()).alias("bare"), (F.max("tf") >= cap).alias("full"))
+        return self.corpus.select("n_docs").crossJoin(d.agg(F.count_if("bare").alias("positionless"), F.count_if("full").alias("at_cap")))  # one row each
+
+    def sizes(self) -> DataFrame:
+        """part, files, bytes of the stored folders."""
+        rows = []
+        for name in ("documents", "postings", "vocabulary", "corpus"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path)
+            rows.append((name, found.getFileCount(), found.getLength()))
+        return self.spark.createDataFrame(rows, "part string, files long, bytes long")
+
     def count(self, query: str | Node) -> int:
         """From the vocabulary alone for one term."""
         node = parse(query) if isinstance(query, str) else query

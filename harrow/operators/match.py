@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.analysis import positions
+from ..functions.analysis import bound, positions
 from ..plans.query import And, Node, Not, Or, Phrase, Term
 from .approximate import approximate_regex, is_approximate
 
@@ -50,12 +50,6 @@ def term_present(doc: Column, t: Term) -> Column:
     return F.array_contains(doc["tokens"], t.text)
 
 
-def _bound(columns: list[Column], f: Callable[..., Column]) -> Column:
-    """f of the columns, each worked out once however often f names it."""
-    row = F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))
-    return F.transform(row, lambda r: f(*[r[f"c{i}"] for i in range(len(columns))]))[0]
-
-
 def following(left: Column, right: Column, distance: int, exact: bool) -> Column:
     """The positions of ``right`` that stand ``distance`` after one of ``left``, or at most so far and after it. Place 0 is unknown, and next to nothing."""
 
@@ -65,9 +59,9 @@ def following(left: Column, right: Column, distance: int, exact: bool) -> Column
             return F.array_intersect(F.transform(p, lambda x: x + distance), q)
         if distance <= LISTED:
             return F.array_sort(F.array_intersect(F.flatten(F.transform(p, lambda x: F.sequence(x + 1, x + distance))), q))
-        return _bound([p, q], lambda a, b: F.filter(b, lambda y: F.exists(a, lambda x: (x < y) & (y - x <= distance))))
+        return bound(lambda a, b: F.filter(b, lambda y: F.exists(a, lambda x: (x < y) & (y - x <= distance))), p, q)
 
-    return _bound([left, right], hits)
+    return bound(hits, left, right)
 
 
 def evaluate(node: Node, leaf: Callable[[Term], Found], has_pos: Column) -> Found:

@@ -103,6 +103,13 @@ def lexscore(d: Column) -> Column:
     return F.when(d > 0, 1 / d - 1).when(d.isNotNull(), F.lit(float("inf")))
 
 
+def quantized_length(length: Column) -> Column:
+    """A length as an index of eight-bit lengths keeps it: exact below 16, beyond that its four leading binary digits."""
+    digits = F.length(F.bin(length)) - 4
+    whole = F.pow(F.lit(2.0), digits.cast("double"))
+    return F.when(length < 16, length.cast("long")).otherwise((F.floor(length / whole) * whole).cast("long"))
+
+
 def value_score(doc: Column, query: Node | None) -> Column:
     """Without a corpus: one document, so every present term weighs ln(4/3) against the document's own length."""
     n = doc["length"].cast("double")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import scratch
 
@@ -89,6 +90,11 @@ def dims(a: Column) -> Column:
     return F.size(a)
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: by components, and a vector that begins another comes first; null if either is."""
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def to_vector(a: Column, n: int | None = None) -> Column:
     """An array of floats with no null or non-finite component, of n components if given."""
     v = _finite(F.transform(a, lambda x: F.when(x.isNull(), F.raise_error(F.lit("a vector's component is null"))).otherwise(x.cast("float"))))
@@ -167,12 +173,13 @@ def _nearest_block(table: DataFrame, queries: list, kind: T.DataType, k: int, me
                             d = 1 + np.clip(d / (np.linalg.norm(x, axis=1) * np.linalg.norm(v)), -1, 1)
                 top = np.argpartition(d, min(k, len(d)) - 1)
                 edge = d[top[min(k, len(d)) - 1]]
-                best[i] = sorted(best[i] + [(round(float(d[j]), 6), ids[j]) for j in np.flatnonzero(d <= edge)])[:k]
+                # distances that round alike tie by id
+                best[i] = sorted(best[i] + [(round(float(d[j]), 6), ids[j]) for j in np.flatnonzero(d <= edge + 1e-6)])[:k]
         rows = [(held[i][0], vid, d) for i, b in enumerate(best) for d, vid in b]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=schema.names)
+            kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return table.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, schema)
 
 
@@ -239,7 +246,6 @@ def with_quantized(table: DataFrame, bits: int = 4, vector_column: str = "embedd
                     out[i] = v.astype(np.float32).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], names=schema.names)
 
-    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return table.mapInArrow(run, schema)
 
 

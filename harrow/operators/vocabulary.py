@@ -109,9 +109,9 @@ def required_grams(pattern: str, ignore_case: bool = False) -> list[str] | None:
     runs, run, i = [], "", 0
     while i < len(pattern):
         c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            i += 1
-            run += pattern[i]
+        if c == "\\":
+            i += 1  # a lone one at the end ends the pattern
+            run += pattern[i : i + 1]
         elif c in "%_":
             runs.append(run)
             run = ""

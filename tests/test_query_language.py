@@ -18,7 +18,11 @@ from harrow.plans.query import QueryError, from_tsquery, parse, show, without_st
     ("a -b", "('a' & !'b')"),
     ("fo* x~ y~1 z~0", "((('fo'* & 'x'~2) & 'y'~1) & 'z')"),
     ("t:ad", "'t':AD"),
-    ("'It''s A'", "'It''s A'"),
+    (r"'It\'s A'", r"'It\'s A'"),
+    (r"'a\\b' And 'and'", r"('a\\b' & 'and')"),
+    ("'tis and 'twas", "('tis' & 'twas')"),
+    ("don't ''", "('don' & 't')"),
+    ("Near(a b, 3) Or nOT c", "(('a' <=3> 'b') | !'c')"),
     ('"a b c"', "(('a' <=1> 'b') <=1> 'c')"),
     ("NEAR(a b c, 4)", "('a' <=4> ('b' <=4> 'c'))"),
     ("a <-> b <3> c", "(('a' <-> 'b') <3> 'c')"),
@@ -49,6 +53,7 @@ def test_empty_and_stopwords():
 def test_tsquery():
     assert show(from_tsquery("'a' <-> 'b' & 'c':*")) == "(('a' <-> 'b') & 'c'*)"
     assert show(from_tsquery("'a':AB | !'b'")) == "('a':AB | !'b')"
+    assert show(from_tsquery("'it''s' & 'c':*")) == r"('it\'s' & 'c'*)"
     for bad in ("'a' <-> 'b':*", "'a' <-> ('b' | 'c')", "'a':A*"):
         with pytest.raises(QueryError):
             from_tsquery(bad)
@@ -92,6 +97,6 @@ def test_tsvector_and_text_forms(spark):
     got = {r.id: r for r in df.select("id", text_form(F.col("d")).alias("f"), F.col("d.has_pos").alias("h")).collect()}
     assert got[1].f == "'fox':2@2A,6 'it''s':1@0 'the':1@1" and got[2].f == "'a':1 'b':1" and not got[2].h and got[3].f == ""
     found = lambda q: [r.id for r in df.where(matches(F.col("d"), parse(q))).collect()]
-    assert found("the <-> fox") == [1] and found("'it''s' <-> the") == [] and found("a & b") == [2] and found("a <-> b") == [] and found("fox:A") == [1]
+    assert found("the <-> fox") == [1] and found(r"'it\'s' <-> the") == [] and found("a & b") == [2] and found("a <-> b") == [] and found("fox:A") == [1]
     back = df.where("id = 1").select(text_form(from_text_form(text_form(F.col("d")))).alias("f")).first()
     assert back.f == got[1].f
