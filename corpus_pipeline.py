@@ -20,10 +20,22 @@ from harrow.llm.shared import written
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by number, which no column of an operator clashes with; and the numbers' names."""
+    names = {c: f"column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _named(plain: DataFrame, docs: DataFrame) -> DataFrame:
+    return plain.select(*[F.col(f"column_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more; the classifier learns from the labels' learning side of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, fit_quality(docs, labels)).where("score >= 0.5").select(*docs.columns)
+    plain, names = _numbered(docs)
+    at = names["text"]
+    return _named(score_quality(plain, fit_quality(docs, labels), at, "score").where("score >= 0.5"), docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +45,21 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         classes = written(near_duplicates(docs), "classes")
         removed = classes.where("doc_id <> class_id").select("doc_id")
         n_removed = removed.count()
-        return docs.join(F.broadcast(removed) if n_removed <= BROADCAST_IDS else removed, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(F.broadcast(removed) if n_removed <= BROADCAST_IDS else removed, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # ids repeat or are null: rows are named by their place in a written copy, and classes are of rows
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     classes = written(near_duplicates(rows, "_row"), "classes").withColumnRenamed("doc_id", "_row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")
     kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("class_id").agg(first).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated: under a twentieth of their words lies inside benchmark windows, or none."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=keep)
+    plain, names = _numbered(docs)
+    found = decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names["doc_id"], names["text"], keep=tuple(plain.columns))
     clean = ~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return found.where(clean).select(*docs.columns)
+    return _named(found.where(clean), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
