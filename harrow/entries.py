@@ -42,7 +42,7 @@ def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         path = scratch(spark, "index")
-        build_index(documents(spark, sf_dir), path, facets=("lang", "n_chars", "source"))
+        build_index(documents(spark, sf_dir), path, facets=tuple(c for c in ("lang", "n_chars", "source") if c in documents(spark, sf_dir).columns))
         _indexes[key] = StoredIndex(spark, path)
     return _indexes[key]
 
