@@ -166,15 +166,3 @@ def test_ranking_measures_gather_no_group(spark):
         assert row.recall == pytest.approx(len(hits) / len(best), abs=1e-6)
         assert row.mrr == pytest.approx(1 / min(k for _, k in hits) if hits else 0, abs=1e-6)
     assert out.count() == 3 and "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
-
-
-def test_near_duplicates_by_row(spark, sf):
-    import corpus_pipeline as c
-
-    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
-    rows = [(1, one), (5, one), (5, two), (6, two + " more"), (6, three), (None, four), (None, four), (None, one), (7, None), (7, None), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = c.near_duplicate(spark, docs, sf).collect()
-    key = lambda r: (str(r[0]), str(r[1]))
-    assert sorted(map(tuple, got), key=key) == sorted([(1, one), (5, two), (6, three), (None, four), (7, None), (7, None), (None, None)], key=key)
-    assert c.near_duplicate(spark, docs.limit(0), sf).count() == 0
