@@ -229,6 +229,24 @@ add("document_round_trip", lambda s, d: read_table(s, d, "part").select("p_partk
 add("document_text_form_all", lambda s, d: documents(s, d).select("doc_id", text_form(F.col("doc")).alias("form"), text_form(set_zone(F.col("doc"), "B")).alias("zoned")))
 add("document_round_trip_all", lambda s, d: documents(s, d).select("doc_id", text_form(set_zone(F.col("doc"), "C")).alias("form")).select("doc_id", (text_form(from_text_form(F.col("form"))) == F.col("form")).alias("same")))
 
+# An index of some rows only, and documents that are analysed when they are stored.
+
+
+def _partial(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "partial")
+    build_index(documents(spark, d).where("lang = 'fr'"), path)
+    return StoredIndex(spark, path).search("de", 20)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "analysed")
+    documents(spark, d).select("doc_id", "doc").write.parquet(path)
+    return spark.read.parquet(path).where(matches(F.col("doc"), parse("the & with"))).select("doc_id")
+
+
+add("partial_index_search", _partial, f"WITH d AS (SELECT *, {_TOKENS.format('text')} AS w FROM documents WHERE lang = 'fr'), {_stats_sql(['de'])} SELECT doc_id, round({_bm25_sql(['de'])}, 6) AS score FROM d, st WHERE {_has('de')} ORDER BY score DESC, doc_id LIMIT 20")
+add("stored_documents_match", _stored, SQL["match_and"])
+
 # --- vocabulary ---------------------------------------------------------------------------------------------------------------------
 
 add("term_stats", lambda s, d: index(s, d).vocabulary.select("term", "df"), f"WITH {_D} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")
@@ -479,6 +497,12 @@ RELATIONAL = {
     "window_frame": "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before_it, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opened FROM conversations",
     "set_union": "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT n_name FROM nation",
     "set_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
+    "set_union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
+    "set_intersect_all": "SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT c_custkey FROM customer",
+    "set_except_all": "SELECT l_orderkey AS k FROM lineitem EXCEPT ALL SELECT o_orderkey FROM orders",
+    "group_percentile": "SELECT lang, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY n_chars), 4) AS middle, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY n_chars), 4) AS high FROM documents GROUP BY lang",
+    "join_interval": "SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON e.user_id = o.o_custkey AND o.o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-01-01 00:00:00'",
+    "join_as_of": "SELECT event_id, user_id, max(earlier) AS before_it FROM (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS earlier FROM events) GROUP BY event_id, user_id",
     "set_except": "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels",
     "facet_double": "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000.5 AND o_totalprice < 50000",
     "facet_date": "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1995-06-30 00:00:00'",

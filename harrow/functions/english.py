@@ -114,9 +114,15 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+@lru_cache(maxsize=1 << 18)
+def _remembered(word: str) -> str:
+    """Each distinct token is stemmed once a worker."""
+    return stem(word)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda x: None if x is None else [stem(t) for t in x])
+    return tokens.map(lambda x: None if x is None else list(map(_remembered, x)))
 
 
 def analyze_english(text: Column, zone: str = "D") -> Column:

@@ -249,6 +249,12 @@ def with_quantized(table: DataFrame, bits: int = 4, vector_column: str = "embedd
     return table.mapInArrow(run, schema)
 
 
+def nearest_codes(table: DataFrame, query: list[float], k: int = 10, bits: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """The k nearest by quantized distance alone, without a look at the vectors: recall grows with ``bits``."""
+    coded = with_quantized(table.select(id_column, vector_column).where(F.col(vector_column).isNotNull()), bits, vector_column)
+    return coded.select(id_column, F.round(l2(F.col("approx"), literal(query)), 6).alias("distance")).orderBy("distance", id_column).limit(k)
+
+
 def nearest_two_stage(table: DataFrame, query: list[float], k: int = 10, bits: int = 4, window: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The exact top k: of ``window * k`` rows by quantized distance, the k-th exact distance bounds which rows can still be among them.
 

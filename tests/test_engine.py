@@ -56,6 +56,18 @@ def test_quantized_recall(spark):
     assert hits >= 27
 
 
+def test_recall_of_codes_grows_with_bits(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    recall = {}
+    for bits in (2, 4, 8):
+        hits = 0
+        for i in (3, 77, 200):
+            q = list(e.where(F.col("vec_id") == i).first()["embedding"])
+            hits += len({r.vec_id for r in vector.nearest(e, q).collect()} & {r.vec_id for r in vector.nearest_codes(e, q, 10, bits).collect()})
+        recall[bits] = hits / 30
+    assert recall[2] >= 0.5 and recall[4] >= 0.8 and recall[8] >= 0.9
+
+
 def test_presentation(spark):
     q = parse("quick & !fox")
     assert one(spark, presentation.highlight(F.lit("the Quick brown fox, quickly $1"), q)) == "the <b>Quick</b> brown <b>fox</b>, quickly $1"
