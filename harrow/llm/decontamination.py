@@ -22,9 +22,9 @@ from .shared import by_bytes, written
 from .textbytes import words_of
 
 #: Words in a window, bytes of text in a shard, and every how many text positions one is sampled.
-WINDOW_WORDS, SHARD_BYTES, SAMPLE = 13, 4 << 20, 16
+WINDOW_WORDS, SHARD_BYTES, SAMPLE = 13, 2 << 20, 16
 #: Words of one index: a longer text is indexed in stretches that overlap by a window less a word.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text that are held in one set of patterns; a larger benchmark is searched in several sets.
 PATTERN_BYTES = 32 << 20
 
@@ -54,8 +54,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         rank[active] = old + first - group
         alone = new_key & np.concatenate((new_key[1:], [True]))
         active, h = active[~alone], 2 * h
-    sa = np.empty(n, dtype=np.int64)
-    sa[rank] = np.arange(n)
+    sa = np.empty(n, dtype=np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
     return sa
 
 
@@ -69,7 +69,7 @@ class FMIndex:
         counts = np.bincount(t, minlength=sigma)
         self.begin = np.concatenate(([0], np.cumsum(counts)))
         kept = (bwt == 0) | (sa % sample == 0)
-        self.kept, self.kept_before, self.position = kept, np.cumsum(kept) - kept, sa[kept]
+        self.kept, self.kept_before, self.position = kept, np.cumsum(kept, dtype=np.int32) - kept, sa[kept]
         self.levels: list[tuple[int, np.ndarray, int]] = []
         row = self.bwt
         for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
