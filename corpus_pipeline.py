@@ -30,8 +30,15 @@ def _named(plain: DataFrame, docs: DataFrame) -> DataFrame:
     return plain.select(*[F.col(f"column_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """The pipeline's own session sends texts to Python in batches of at most 1,000 rows: its stages follow each other in the same executors, whose
+    Python workers keep the memory of their largest batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more; the classifier learns from the labels' learning side of these documents."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     plain, names = _numbered(docs)
     at = names["text"]
@@ -40,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row: with the smallest id, or any where all ids are null. Rows without a text stay."""
+    _small_batches(spark)
     found = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if found.ids == found.rows:
         classes = written(near_duplicates(docs), "classes")
@@ -57,6 +65,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated: under a twentieth of their words lies inside benchmark windows, or none."""
     plain, names = _numbered(docs)
+    _small_batches(spark)
     found = decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names["doc_id"], names["text"], keep=tuple(plain.columns))
     clean = ~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return _named(found.where(clean), docs)
@@ -66,6 +75,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text's bytes."""
     import public_tokenizers
 
+    _small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = encode(docs.withColumn("_digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)), path, pattern, keep=("lang", "source", "_digest"))
     back = decode(coded, path, pattern)
