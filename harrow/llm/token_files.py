@@ -30,7 +30,7 @@ from .shared import by_bytes, on_worker
 from .units import Units, cuts_at_units, settings_of
 
 #: Ids in a segment, about; bytes of texts that are encoded at once.
-SEGMENT_IDS, TEXT_BYTES = 1 << 18, 8 << 20
+SEGMENT_IDS, TEXT_BYTES = 1 << 18, 16 << 20
 #: Segments whose starts are broadcast (24 bytes each); beyond that they are joined by a shuffle.
 STARTS = 500_000
 _loaded: dict = {}
