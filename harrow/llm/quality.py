@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import by_bytes
-from .textbytes import chunks, shingles_of, words_of
+from .textbytes import WINDOW, chunks, shingles_of, words_of
 
 #: Hashed byte pairs; and the most positives and the most unlabelled texts that a fit takes, those whose hashed ids are smallest.
 PAIRS, SAMPLE = 512, 5000
@@ -40,12 +40,16 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     n = len(texts)
     size = np.array([len(t or b"") for t in texts], dtype=np.int64)
     buf = np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8)
-    doc = np.repeat(np.arange(n), size)
     per = 1 / np.maximum(1, size)[:, None]
-    kinds = np.bincount(doc * _N_KINDS + _KINDS[buf], minlength=n * _N_KINDS).reshape(n, _N_KINDS) * per
-    inside = doc[1:] == doc[:-1]
-    pair = (buf[:-1].astype(np.uint32) * 256 + buf[1:]) * np.uint32(2654435761) >> np.uint32(23)
-    pairs = np.bincount((doc[1:] * PAIRS + pair)[inside], minlength=n * PAIRS).reshape(n, PAIRS) / (size + SHRINK)[:, None]
+    kinds, pairs, ends = np.zeros(n * _N_KINDS, dtype=np.int64), np.zeros(n * PAIRS, dtype=np.int64), np.cumsum(size)
+    for a in range(0, len(buf), WINDOW):  # memory follows the window, not the text
+        own = buf[a : a + WINDOW + 1]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(ends, a, a + len(own)), prepend=a))
+        kinds += np.bincount(doc[:WINDOW] * _N_KINDS + _KINDS[own[:WINDOW]], minlength=n * _N_KINDS)
+        pair = (own[:-1].astype(np.uint32) * 256 + own[1:]) * np.uint32(2654435761) >> np.uint32(23)
+        pairs += np.bincount((doc[1:] * PAIRS + pair)[doc[1:] == doc[:-1]], minlength=n * PAIRS)
+    kinds = kinds.reshape(n, _N_KINDS) * per
+    pairs = pairs.reshape(n, PAIRS) / (size + SHRINK)[:, None]
     word_doc, start, end, h = words_of(texts)
     words = np.bincount(word_doc, minlength=n)
     runs_doc, runs = shingles_of(word_doc, h, n, 3)

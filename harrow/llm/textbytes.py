@@ -102,15 +102,19 @@ def shingles_of(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int) -> tupl
     np.cumsum(count, out=first[1:])
     runs = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     of = np.repeat(np.arange(n_docs), runs)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
-    at = first[of] + offset
-    end = np.minimum(at + width, first[of + 1])
+    skipped = first[:-1] - (np.cumsum(runs) - runs)
     out = np.zeros(len(of), dtype=np.uint64)
-    for k in range(width):
-        inside = at + k < end
-        value = np.zeros(len(of), dtype=np.uint64)
-        value[inside] = h[at[inside] + k]
-        out = mix(out + value * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1) * inside)
+    for a in range(0, len(of), WINDOW):  # memory beside the result follows the window
+        own = of[a : a + WINDOW]
+        at = np.arange(a, a + len(own)) + skipped[own]
+        end = np.minimum(at + width, first[own + 1])
+        total = np.zeros(len(own), dtype=np.uint64)
+        for k in range(width):
+            inside = at + k < end
+            value = np.zeros(len(own), dtype=np.uint64)
+            value[inside] = h[at[inside] + k]
+            total = mix(total + value * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1) * inside)
+        out[a : a + WINDOW] = total
     return of, out
 
 
