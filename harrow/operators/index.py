@@ -188,8 +188,9 @@ class StoredIndex:
         nodes = {q: parse(text) for q, text in queries.items()}
         found, hits = self._grouped([n for n in nodes.values() if n is not None], [])
         hit = dict(zip((q for q, n in nodes.items() if n is not None), hits, strict=True))
-        one = found.agg(*[F.count_if(hit.get(q, F.lit(False))).alias(q) for q in nodes])
-        return one.unpivot([], one.columns, "query", "n")
+        one = found.agg(*[F.count_if(hit.get(q, F.lit(False))).alias(f"n{i}") for i, q in enumerate(nodes)])
+        named = F.array(*[F.struct(F.lit(q).alias("query"), F.col(f"n{i}").alias("n")) for i, q in enumerate(nodes)])
+        return one.select(F.explode(named).alias("x")).select("x.query", "x.n")
 
     def health(self, cap: int = 255) -> DataFrame:
         """n_docs, positionless (documents with tokens but no positions), at_cap (documents with a term of ``cap`` positions or more): one row."""

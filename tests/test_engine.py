@@ -111,3 +111,30 @@ def test_entry_and_registry(spark):
     plan = entries.QUERIES["scan_top"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("İΣ") <= 8  # the text is split in one place, once
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_index_and_scan_agree(spark, tmp_path):
+    from harrow.functions.analysis import concat_docs, set_zone, strip_positions
+    from harrow.operators.index import StoredIndex, build_index
+    from harrow.operators.match import matches
+
+    rng = np.random.default_rng(4)
+    words = ["red", "fox", "quick", "brown", "bread", "brow", "the"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 9)).tolist()), str(rng.choice(words))) for i in range(60)] + [(60, None, "red"), (61, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, t string, title string")
+    both = concat_docs(set_zone(analyze(F.col("title")), "A"), analyze(F.col("t")))
+    docs = df.withColumn("doc", F.when(F.col("doc_id") % 7 == 3, strip_positions(both)).otherwise(both))
+    build_index(docs, f"file://{tmp_path}/i", facets=("title",))
+    index = StoredIndex(spark, f"file://{tmp_path}/i")
+    queries = ["red", "!red", "red & !fox", "red | !fox", "bro*", "bro* | the", "brwn~2", "/^b.*d$/", "/(brwn){~1}/", '"quick brown"', "red:A", "red:D & !fox:A", "NEAR(red fox, 3)", "the <2> fox", "(quick <-> brown) <-> fox", '"quick bro*"', "quick <-> (brown | red)", '!"red fox"', "NEAR(red the, 40)", "", "red:A <-> fox", "absent", "!absent"]
+    for q in queries:
+        want = sorted(r.doc_id for r in docs.where(matches(F.col("doc"), parse(q))).select("doc_id").collect())
+        assert sorted(r.doc_id for r in index.matching(q).collect()) == want, q
+        if q:
+            assert index.count(q) == len(want)
+            assert index.search(q, 9).collect() == rank.search(docs, q, 9).collect(), q
+    assert index.ordered("red | fox", 99).collect() == rank.ordered(docs, "red | fox", 99).collect()
+    many = {r["query"]: r.n for r in index.count_many({q: q for q in queries if q}).collect()}
+    assert many == {q: index.count(q) for q in queries if q}
+    got = index.search("red", 99, gate=F.col("title") == "fox").collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.where(matches(F.col("doc"), parse("red")) & (F.col("title") == "fox")).collect()}
