@@ -87,7 +87,11 @@ def evaluate(node: Node, leaf: Callable[[Term], Found], has_pos: Column) -> Foun
 
 
 def matches(doc: Column, query: Node | None) -> Column:
-    """True or false for a document; null for a null one. An empty query matches nothing."""
+    """True or false for a document; null for a null one. An empty query matches nothing.
+
+    ``doc`` should be a column of its table, stored or made by ``analysis.with_document``: an expression is worked out again for each part of the query, and a
+    condition with an approximate regular expression (a Python function) may not be planned over one.
+    """
 
     def leaf(t: Term) -> Found:
         if t.kind == "plain":

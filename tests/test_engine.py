@@ -114,7 +114,7 @@ def test_entry_and_registry(spark):
 
 
 def test_index_and_scan_agree(spark, tmp_path):
-    from harrow.functions.analysis import concat_docs, set_zone, strip_positions
+    from harrow.functions.analysis import concat_docs, set_zone, strip_positions, with_document
     from harrow.operators.index import StoredIndex, build_index
     from harrow.operators.match import matches
 
@@ -123,7 +123,7 @@ def test_index_and_scan_agree(spark, tmp_path):
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 9)).tolist()), str(rng.choice(words))) for i in range(60)] + [(60, None, "red"), (61, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, t string, title string")
     both = concat_docs(set_zone(analyze(F.col("title")), "A"), analyze(F.col("t")))
-    docs = df.withColumn("doc", F.when(F.col("doc_id") % 7 == 3, strip_positions(both)).otherwise(both))
+    docs = with_document(df, F.when(F.col("doc_id") % 7 == 3, strip_positions(both)).otherwise(both))
     build_index(docs, f"file://{tmp_path}/i", facets=("title",))
     index = StoredIndex(spark, f"file://{tmp_path}/i")
     queries = ["red", "!red", "red & !fox", "red | !fox", "bro*", "bro* | the", "brwn~2", "/^b.*d$/", "/(brwn){~1}/", '"quick brown"', "red:A", "red:D & !fox:A", "NEAR(red fox, 3)", "the <2> fox", "(quick <-> brown) <-> fox", '"quick bro*"', "quick <-> (brown | red)", '!"red fox"', "NEAR(red the, 40)", "", "red:A <-> fox", "absent", "!absent"]
